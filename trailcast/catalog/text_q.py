@@ -16,6 +16,7 @@ from trailcast.operators.labels import (ATTRIBUTE_LABELS, LEGEND_HEADING, attrib
 from trailcast.operators.prompts import (HEAD_IDENTITY, HEAD_INSTRUCTIONS, HEAD_PAST, HEAD_PREFIX,
                                          PROMPT_VARIANTS, assemble_prompts, neighbour_block)
 from trailcast.plans.build import all_prefixes, build_dataset
+from trailcast.session import materialize
 from trailcast.sources.eventlog import EVENTS_LIFECYCLE_SPEC, events_with_lifecycle, from_table
 
 M3 = PrefixConfig(base=1, gap=3, m=3)
@@ -55,7 +56,7 @@ def q_attribute_legend(spark, d):
 
 def _retrieval(spark, d):
     log = events_log(spark, d)
-    ds = build_dataset(log, RET_CFG)
+    ds = materialize(build_dataset(log, RET_CFG))
     enc = activity_histogram_encoder(activity_vocabulary(log))
     test = ds.filter(F.col("split") == "test").select(F.col("row_id").alias("query_id"), "prefix")
     corp = ds.filter(F.col("split") == "retrieval").select(F.col("row_id").alias("point_id"),

@@ -111,32 +111,40 @@ def _attr_map(struct_col: F.Column) -> F.Column:
     return F.map_from_entries(entries)
 
 
-def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
-    """A1: one row per event; trace attributes as ``case:*`` keys. Output columns:
-    trace_pos (file order), event_in_trace, attributes map<string,string>."""
+TRACE_SHIFT = 1 << 24   # event_pos = trace_pos * TRACE_SHIFT + position inside the trace
+
+
+def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Raw XES traces (one row per ``<trace>``) with ``trace_pos``: file order of the trace
+    (file path, block, position inside the block), numbered by the skew-safe ranking."""
+    from trailcast.operators.ranking import row_number_within
     raw = (spark.read.format("xml").option("rowTag", "trace").option("attributePrefix", "_")
            .schema(XES_TRACE_SCHEMA).load(path)
            .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_block", F.col("_metadata.file_block_start")))
-    # file order of traces: (file, block, position inside the block)
-    traces = raw.withColumn("_mono", F.monotonically_increasing_id())
+           .withColumn("_block", F.col("_metadata.file_block_start"))
+           .withColumn("_mono", F.monotonically_increasing_id()))
+    return row_number_within(raw, ["_file", "_block", "_mono"], name="trace_pos") \
+        .drop("_file", "_block", "_mono")
+
+
+def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
+    """A1: one row per event with all attributes as map<string,string>; trace attributes
+    carry the ``case:`` prefix. Columns: trace_pos, event_in_trace, attributes."""
+    traces = read_xes_traces(spark, path)
     trace_attrs = _attr_map(F.struct(*[F.col(k) for k in _ATTR_KINDS]))
-    traces = traces.select(
-        "_file", "_block", "_mono",
+    ev = traces.select(
+        "trace_pos",
         F.transform_keys(trace_attrs, lambda k, v: F.concat(F.lit(CASE_PREFIX), k)).alias("_tattrs"),
-        F.posexplode_outer("event").alias("event_in_trace", "ev"))
-    return traces.select(
-        F.struct("_file", "_block", "_mono").alias("trace_order"), "event_in_trace",
-        F.map_concat(F.col("_tattrs"), _attr_map(F.col("ev"))).alias("attributes"))
+        F.posexplode("event").alias("event_in_trace", "ev"))
+    return ev.select("trace_pos", "event_in_trace",
+                     F.map_concat(F.col("_tattrs"), _attr_map(F.col("ev"))).alias("attributes"))
 
 
 def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name",
                attr_keys: list[str] | None = None) -> DataFrame:
-    """Canonical log from :func:`read_xes_events`: trace attributes other than the trace
-    id are dropped (C2), timestamps parsed, the lifecycle kept as a column."""
-    ranked = xes_events.withColumn(
-        "event_pos",
-        F.dense_rank().over(_order_window()) * F.lit(1 << 20) + F.col("event_in_trace"))
+    """Canonical log from :func:`read_xes_events`. Trace attributes other than the trace
+    id are dropped (C2); ``attr_keys`` lists the event attributes kept as values, in
+    column order (default: timestamp, lifecycle, resource, role)."""
     a = F.col("attributes")
     keys = attr_keys or ["time:timestamp", "lifecycle:transition", "org:resource", "org:role"]
     keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name"]
@@ -150,17 +158,17 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
     attrs = F.array(*[F.struct(F.lit(ab).alias("key"),
                                F.coalesce(_xes_value_text(layout[ab], a[layout[ab]]),
                                           F.lit("nan")).alias("value")) for ab in order])
-    return ranked.select(
-        a[trace_identifier].alias("case_id"), F.col("event_pos").cast("long").alias("event_pos"),
+    pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
+    return xes_events.select(
+        a[trace_identifier].alias("case_id"), pos.cast("long").alias("event_pos"),
         a["concept:name"].alias("activity"),
         F.to_timestamp(a["time:timestamp"]).alias("ts"),
         a["lifecycle:transition"].alias("lifecycle"), attrs.alias("attrs"))
 
 
-def _order_window():
-    from pyspark.sql import Window
-    return Window.orderBy(F.col("trace_order._file"), F.col("trace_order._block"),
-                          F.col("trace_order._mono"))
+def read_xes_log(spark: SparkSession, path: str, trace_identifier: str = "case:concept:name",
+                 attr_keys: list[str] | None = None) -> DataFrame:
+    return xes_to_log(read_xes_events(spark, path), trace_identifier, attr_keys)
 
 
 def _xes_value_text(key: str, v: F.Column) -> F.Column:
