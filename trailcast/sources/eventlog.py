@@ -144,9 +144,13 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
                attr_keys: list[str] | None = None) -> DataFrame:
     """Canonical log from :func:`read_xes_events`. Trace attributes other than the trace
     id are dropped (C2); ``attr_keys`` lists the event attributes kept as values, in
-    column order (default: timestamp, lifecycle, resource, role)."""
+    column order. Default: the event attribute names present in the log (a distinct
+    over names - bounded by the log's schema, not its size), sorted."""
     a = F.col("attributes")
-    keys = attr_keys or ["time:timestamp", "lifecycle:transition", "org:resource", "org:role"]
+    if attr_keys is None:
+        names = xes_events.select(F.explode(F.map_keys("attributes")).alias("k")).distinct().collect()
+        attr_keys = sorted(r.k for r in names)
+    keys = attr_keys
     keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name"]
     layout: dict[str, str] = {}
     order: list[str] = []
