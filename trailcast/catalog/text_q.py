@@ -56,7 +56,7 @@ def q_attribute_legend(spark, d):
 
 def _retrieval(spark, d):
     log = events_log(spark, d)
-    ds = materialize(build_dataset(log, RET_CFG))
+    ds = materialize(build_dataset(log, RET_CFG), ["split"])
     enc = activity_histogram_encoder(activity_vocabulary(log))
     test = ds.filter(F.col("split") == "test").select(F.col("row_id").alias("query_id"), "prefix")
     corp = ds.filter(F.col("split") == "retrieval").select(F.col("row_id").alias("point_id"),

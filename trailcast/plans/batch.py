@@ -26,7 +26,7 @@ def preprocess_many(spark: SparkSession, logs: dict[str, DataFrame], out_root: s
     def job(stem: str, log: DataFrame):
         def run():
             variant = dataset_variant(stem, cfg)
-            ds = materialize(build_dataset(log, cfg, variant=variant))
+            ds = materialize(build_dataset(log, cfg, variant=variant), ["split"])
             write_prefixes(ds, f"{root}/prefixes")
             if labels:
                 kl = lookup_labels(attribute_keys(ds), label_table(spark)).withColumn("variant", F.lit(variant))

@@ -53,8 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df):
-    """Cut lineage of an intermediate that several actions read: a reliable checkpoint
-    written to the cluster's shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, partition_by: list[str] | None = None):
+    """Cut lineage of an intermediate that several actions read: write it as a Parquet
+    table under the cluster's shared checkpoint folder and read it back (survives
+    executor loss; later reads get column pruning and filter / partition pushdown)."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/trailcast-tables/{uuid.uuid4().hex}"
+    writer = df.write.mode("error")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
