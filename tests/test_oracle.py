@@ -19,3 +19,24 @@ def test_all_queries_match_oracle(results):
 def test_every_query_has_an_oracle_or_is_declared_rows_only(results):
     rows_only = {k for k, v in results.items() if v.get("rows_only")}
     assert rows_only <= {"encode_hashing", "vector_table_build", "evaluate_events", "execution_report"}
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
+def test_column_types_match_oracle(spark):
+    import __spark_entry__ as entry
+    from trailcast.catalog.check import duckdb_conn
+    con = duckdb_conn(SF)
+    qs, sqls = entry.queries(), entry.oracle_sql()
+    bad = {}
+    for k, sql in sqls.items():
+        st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in qs[k](spark, SF).schema.fields}
+        rel = con.sql(sql)
+        dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+        diff = {c: (st[c], dt.get(c)) for c in st if st[c] != dt.get(c)}
+        if diff:
+            bad[k] = diff
+    assert not bad, bad

@@ -242,5 +242,5 @@ ORACLE = {
         FROM (SELECT *, CAST(round_even(seconds, 0) AS BIGINT) AS t FROM (
           SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY user_id))""",
     "bytes_to_mb": """SELECT source, bytes, round_even(bytes / 1048576.0, 3) AS size_mb
-        FROM (SELECT source, sum(strlen(text)) AS bytes FROM documents GROUP BY source)""",
+        FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source)""",
 }
