@@ -14,8 +14,8 @@ from trailcast.operators.prefixes import map_text, render_events, trace_text
 from trailcast.operators.split import temporal_split
 from trailcast.operators.traces import event_positions, short_trace_filter, trace_table
 from trailcast.plans.build import all_prefixes, build_dataset
-from trailcast.sources.eventlog import (EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC, ORDERS_SPEC,
-                                        events_with_lifecycle, from_table)
+from trailcast.sources.eventlog import (CONVERSATIONS_SPEC, EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC,
+                                        ORDERS_SPEC, events_with_lifecycle, from_table)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,32 @@ def q_row_split(spark, d):
         "split", "row_id", "dedup_key", "prefix", "prediction")
 
 
+# The same results through the distributed paths a large log takes: range-bucketed
+# ranking (every count treated as large) and 8-event blocks joined by a multi-round
+# prefix scan. Checked against the same oracle SQL as the default plans.
+SCALE_PATH = dict(small_rows=0, rows_per_bucket=5000)
+
+
+def q_prefix_dedup_scale_path(spark, d):
+    cfg = PrefixConfig(base=1, gap=3, m=1, block_size=8)
+    return build_dataset(events_log(spark, d), cfg, **SCALE_PATH).select(
+        "split", "row_id", "case_id", "anchor", "prefix", "prediction", "prefix_len")
+
+
+def q_trace_assembly_scale_path(spark, d):
+    log = events_log(spark, d)
+    ev = render_events(event_positions(drop_null_cases(log), **SCALE_PATH), PrefixConfig(m=0))
+    return trace_text(ev, trace_table(log), block_size=8)
+
+
+def q_conversation_prefixes(spark, d):
+    """Conversations as a log: no timestamps, turn order only; the turn number is the
+    one attribute value."""
+    log = from_table(table(spark, d, "conversations"), CONVERSATIONS_SPEC)
+    return all_prefixes(log, PrefixConfig(base=0, gap=1, m=1)).select(
+        "case_id", "anchor", "prefix", "prediction", "dedup_key")
+
+
 def q_attribute_abbrev(spark, d):
     part = table(spark, d, "part")
     return part.select("p_partkey", abbreviate(F.col("p_type")).alias("abbr_type"),
@@ -156,6 +182,9 @@ QUERIES = {
     "temporal_split": q_temporal_split,
     "row_split": q_row_split,
     "attribute_abbrev": q_attribute_abbrev,
+    "prefix_dedup_scale_path": q_prefix_dedup_scale_path,
+    "trace_assembly_scale_path": q_trace_assembly_scale_path,
+    "conversation_prefixes": q_conversation_prefixes,
 }
 
 # ----------------------------------------------------------------------------- oracles
@@ -203,6 +232,12 @@ SELECT s.split, row_number() OVER (PARTITION BY s.split ORDER BY s.trace_pos, s.
 FROM w s WHERE TRUE {cross_filter}"""
 
 
+CONV_POS = """
+SELECT conv_id AS case_id, turn, coalesce(role, 'nan') AS act,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
+       count(*) OVER (PARTITION BY conv_id) AS n, min(turn) OVER (PARTITION BY conv_id) AS trace_pos
+FROM conversations WHERE conv_id IS NOT NULL"""
+
 EV_MAP_SORTED = sqlx.events_map_sql("e", sort=True)
 EV_MAP_COLS = sqlx.events_map_sql("e", sort=False)
 
@@ -252,6 +287,11 @@ s AS (SELECT *, CASE WHEN h <= CAST(floor(CAST(n AS DOUBLE) * CAST(0.3 AS DOUBLE
                 THEN 'test' ELSE 'retrieval' END AS split FROM r)
 SELECT split, row_number() OVER (PARTITION BY split ORDER BY trace_pos, anchor) - 1 AS row_id,
        dedup_key, prefix, prediction FROM s""",
+    "conversation_prefixes": f"""SELECT case_id, anchor, prefix, prediction, dedup_key FROM ({_prefix_sql(
+        CONV_POS, 0, 1, "CASE WHEN e.idx > a.anchor - 1 THEN e.act || ' - Values: {''tu'': ' || "
+        + sqlx.repr_sql("CAST(e.turn AS VARCHAR)") + " || '}' ELSE e.act END")})""",
     "attribute_abbrev": f"""SELECT p_partkey, {sqlx.abbrev_sql('p_type')} AS abbr_type,
         {sqlx.abbrev_sql('p_name')} AS abbr_name FROM part""",
 }
+ORACLE["prefix_dedup_scale_path"] = ORACLE["prefix_dedup"]
+ORACLE["trace_assembly_scale_path"] = ORACLE["trace_assembly"]

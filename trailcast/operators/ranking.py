@@ -62,9 +62,13 @@ def bucket_expr(keys: list[Column], bounds: list[tuple]) -> Column:
 def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                       name: str = "rn", n_rows: int | None = None,
                       small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                      seed: int = 17) -> DataFrame:
+                      seed: int = 17, materialize_input: bool = True) -> DataFrame:
     """Append ``name`` = 1-based row number within ``partition_cols`` ordered by
-    ``order_cols`` ascending. ``order_cols`` must be non-null and unique within a group."""
+    ``order_cols`` ascending. ``order_cols`` must be non-null and unique within a group.
+
+    On the bucketed path the input is read twice (key sample, then numbering); with
+    ``materialize_input`` it is first written once to the checkpoint folder so that an
+    expensive upstream plan is not computed twice."""
     partition_cols = list(partition_cols)
     order_cols = list(order_cols)
     if n_rows is None:
@@ -74,6 +78,9 @@ def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list
             else Window.orderBy(*order_cols)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
 
+    if materialize_input:
+        from trailcast.session import materialize
+        df = materialize(df)
     n_buckets = min(MAX_BUCKETS, max(2, math.ceil(n_rows / rows_per_bucket)))
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     key_names = partition_cols + order_cols

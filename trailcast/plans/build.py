@@ -20,6 +20,7 @@ from trailcast.operators.prefixes import (assemble_prefixes, cross_split_anti, d
 from trailcast.operators.ranking import row_number_within
 from trailcast.operators.split import row_split, temporal_split
 from trailcast.operators.traces import event_positions, trace_table
+from trailcast.session import materialize
 
 PREFIX_COLUMNS = ["split", "row_id", "case_id", "trace_pos", "anchor", "prefix", "prediction",
                   "dedup_key", "prefix_len"]
@@ -48,12 +49,18 @@ def positioned_events(log: DataFrame, cfg: PrefixConfig, stats: LogStats | None
     return render_events(pos, cfg)
 
 
+def traces_of(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
+    """The trace table, written once: the stats, the split and the assembly all read it,
+    and recomputing it would rescan the whole event log each time."""
+    return materialize(trace_table(log, lifecycle_filter=cfg.lifecycle_filter))
+
+
 def all_prefixes(log: DataFrame, cfg: PrefixConfig, traces: DataFrame | None = None,
                  stats: LogStats | None = None, **rank_opts) -> DataFrame:
     """Every anchor of every trace (no split, no dedup)."""
     cfg.validate()
     if traces is None:
-        traces = trace_table(log, lifecycle_filter=cfg.lifecycle_filter)
+        traces = traces_of(log, cfg)
     if stats is None:
         stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
@@ -65,7 +72,7 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
     """Prefix table: split, row_id (0-based position in the split's file order), case_id,
     trace_pos, anchor, prefix, prediction, dedup_key, prefix_len [, variant]."""
     cfg.validate()
-    traces = trace_table(log, lifecycle_filter=cfg.lifecycle_filter)
+    traces = traces_of(log, cfg)
     stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
     if cfg.split_mode == "trace":
