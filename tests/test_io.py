@@ -125,3 +125,32 @@ def test_vector_collections_replace_only_their_partition(spark, tmp_dir):
     write_vectors(mk("v1", 1), path)     # recreate collection v1 only
     got = {r.variant: r["count"] for r in spark.read.parquet(path).groupBy("variant").count().collect()}
     assert got == {"v1": 1, "v2": 2}
+
+
+def test_split_log_runs_and_reports(spark, tmp_dir):
+    from trailcast.catalog.prefix_q import orders_log
+    from trailcast.operators.runs import latest_per_key
+    from trailcast.operators.split import temporal_split
+    from trailcast.operators.traces import trace_table
+    from trailcast.sinks.writers import append_runs, replace_report, write_split_log
+    log = orders_log(spark, "/root/testdata/sf0.001")
+    split = temporal_split(trace_table(log), 0.3)
+    out = write_split_log(log, split, os.path.join(tmp_dir, "split_log"))
+    back = spark.read.parquet(out)
+    assert back.count() == log.filter("case_id IS NOT NULL").count()
+    n_test = split.filter("split = 'test'").count()
+    assert back.filter("split = 'test'").select("case_id").distinct().count() == n_test
+    runs = os.path.join(tmp_dir, "runs")
+    entry = spark.createDataFrame([("2024-01-01", "a", "k1", 0.5)], "timestamp string, run_label string, "
+                                  "config_key string, accuracy double")
+    append_runs(entry, runs)
+    append_runs(entry.withColumn("run_label", F.lit("b")), runs)
+    assert spark.read.parquet(runs).count() == 2
+    reports = os.path.join(tmp_dir, "reports")
+    r1 = spark.createDataFrame([("b1_g3", "2024-01-01", "r1"), ("b2_g3", "2024-01-01", "r2")],
+                               "variant_key string, timestamp string, run_label string")
+    replace_report(latest_per_key(r1, "variant_key", ["timestamp", "run_label"]), reports)
+    r2 = spark.createDataFrame([("b1_g3", "2024-02-01", "r3")], "variant_key string, timestamp string, run_label string")
+    replace_report(r2, reports)
+    got = {r.variant_key: r.run_label for r in spark.read.parquet(reports).collect()}
+    assert got == {"b1_g3": "r3", "b2_g3": "r2"}

@@ -115,7 +115,7 @@ _EV_M3 = (f"CASE WHEN e.idx > a.anchor - 3 THEN e.act || ' - Values: ' || "
           f"(CASE WHEN e.idx <= 1 THEN {sqlx.events_map_sql('e', False)} "
           f"ELSE {sqlx.events_map_sql('e', True)} END) ELSE e.act END")
 M3_SQL = _prefix_sql(sqlx.EVENTS_POS, 1, 3, _EV_M3)
-SPAN = sqlx_span = " - Values: \\{(?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*\\}"
+SPAN = " - Values: \\{(?:[^{}]|\\{(?:[^{}]|\\{[^{}]*\\})*\\})*\\}"
 
 _LC = ("CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'start' "
        "WHEN event_id % 4 = 1 THEN ' Complete ' WHEN event_id % 4 = 2 THEN 'completed' "
