@@ -95,12 +95,18 @@ def anchors_column(blk: Column, n: Column, cfg: PrefixConfig, block_size: int) -
         .otherwise(F.array().cast("array<bigint>"))
 
 
+BROADCAST_TRACES = 1_000_000   # trace rows (case, position, count, split) broadcast below this
+
+
 def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
-                      max_events: int | None = None) -> DataFrame:
+                      max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
     """Anchor rows for every trace with more than two events.
 
     events: rendered, positioned events (case_id, idx, act, plain, rich)
     traces: case_id, trace_pos, n [, split]
+    n_traces: exact trace count when known; at most BROADCAST_TRACES rows of the narrow
+    trace table are broadcast to the block rows, above that it is a shuffle join (AQE
+    splits a skewed, i.e. hot, case on the block side)
     Output: case_id, trace_pos, [split,] anchor, prefix, prediction, dedup_key, prefix_len
     """
     B = cfg.block_size
@@ -109,7 +115,8 @@ def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
     blocks = block_rows(events, B, mm)
     trace_cols = [c for c in ("trace_pos", "n", "split") if c in traces.columns]
     tr = traces.filter(F.col("n") > 2).select("case_id", *trace_cols)
-    rows = blocks.join(tr, "case_id")
+    small = n_traces is not None and n_traces <= BROADCAST_TRACES
+    rows = blocks.join(F.broadcast(tr) if small else tr, "case_id")
     if max_events is None:
         max_events = tr.agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(max_events / B))

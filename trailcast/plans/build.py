@@ -64,7 +64,7 @@ def all_prefixes(log: DataFrame, cfg: PrefixConfig, traces: DataFrame | None = N
     if stats is None:
         stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
-    return assemble_prefixes(events, traces, cfg, max_events=stats.longest)
+    return assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
 
 
 def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: str | None = None,
@@ -78,14 +78,14 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
     if cfg.split_mode == "trace":
         split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
                                n_traces=stats.traces, **rank_opts)
-        pre = assemble_prefixes(events, split, cfg, max_events=stats.longest)
+        pre = assemble_prefixes(events, split, cfg, max_events=stats.longest, n_traces=stats.traces)
         ded = dedup_first_wins(pre, ["split"])
         if cfg.cross_dedup:
             retrieval = ded.filter(F.col("split") == "retrieval")
             test = cross_split_anti(ded.filter(F.col("split") == "test"), retrieval)
             ded = retrieval.unionByName(test)
     else:
-        pre = assemble_prefixes(events, traces, cfg, max_events=stats.longest)
+        pre = assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
         ded = dedup_first_wins(pre, [])
         # the test size is int(n * p) of the exact deduplicated row count
         ded = row_split(ded, cfg.test_share, cfg.row_split_seed, **rank_opts)
