@@ -62,13 +62,14 @@ def bucket_expr(keys: list[Column], bounds: list[tuple]) -> Column:
 def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                       name: str = "rn", n_rows: int | None = None,
                       small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                      seed: int = 17, materialize_input: bool = True) -> DataFrame:
+                      seed: int = 17, materialize_input: bool = False) -> DataFrame:
     """Append ``name`` = 1-based row number within ``partition_cols`` ordered by
     ``order_cols`` ascending. ``order_cols`` must be non-null and unique within a group.
 
-    On the bucketed path the input is read twice (key sample, then numbering); with
-    ``materialize_input`` it is first written once to the checkpoint folder so that an
-    expensive upstream plan is not computed twice."""
+    On the bucketed path the input is read twice (key sample, then numbering). Pass
+    ``materialize_input=True`` when it is an expensive derived table: it is then written
+    once to the checkpoint folder instead of being computed twice. A plain scan is
+    cheaper to re-read (the sample reads only the key columns)."""
     partition_cols = list(partition_cols)
     order_cols = list(order_cols)
     if n_rows is None:

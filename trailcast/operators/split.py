@@ -47,6 +47,7 @@ def row_split(rows: DataFrame, test_share: float, seed: int = 42, key: str = "de
         n_rows = rows.count()
     t = test_size(n_rows, test_share)
     keyed = rows.withColumn("_h", seeded_order_key(F.col(key), seed))
-    ranked = row_number_within(keyed, ["_h", key], name="_srank", n_rows=n_rows, **rank_opts)
+    ranked = row_number_within(keyed, ["_h", key], name="_srank", n_rows=n_rows,
+                               materialize_input=True, **rank_opts)
     return ranked.withColumn("split", F.when(F.col("_srank") <= t, F.lit("test"))
                              .otherwise(F.lit("retrieval"))).drop("_h", "_srank")

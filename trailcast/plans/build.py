@@ -89,7 +89,7 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
         ded = dedup_first_wins(pre, [])
         # the test size is int(n * p) of the exact deduplicated row count
         ded = row_split(ded, cfg.test_share, cfg.row_split_seed, **rank_opts)
-    out = row_number_within(ded, ["trace_pos", "anchor"], ["split"], name="row_id",
+    out = row_number_within(ded, ["trace_pos", "anchor"], ["split"], name="row_id", materialize_input=True,
                             n_rows=stats.anchors_upper, **rank_opts)
     out = out.withColumn("row_id", F.col("row_id") - 1).select(*PREFIX_COLUMNS)
     if variant is not None:

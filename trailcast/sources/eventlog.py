@@ -123,7 +123,7 @@ def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_block", F.col("_metadata.file_block_start"))
            .withColumn("_mono", F.monotonically_increasing_id()))
-    return row_number_within(raw, ["_file", "_block", "_mono"], name="trace_pos") \
+    return row_number_within(raw, ["_file", "_block", "_mono"], name="trace_pos", materialize_input=True) \
         .drop("_file", "_block", "_mono")
 
 
