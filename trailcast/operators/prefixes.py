@@ -159,6 +159,25 @@ def dedup_first_wins(prefixes: DataFrame, scope: list[str] = ("split",)) -> Data
             .select(*prefixes.columns))
 
 
+def dedup_splits(prefixes: DataFrame, cross_dedup: bool = False,
+                 splits: tuple[str, str] = ("retrieval", "test")) -> DataFrame:
+    """E4 for both splits and D3 in one aggregation grouped by dedup key: the first row of
+    each split (earliest trace, then anchor) is kept; with ``cross_dedup`` a test row is
+    kept only when the key has no retrieval row. One shuffle, map-side combined, and the
+    assembled prefixes are read once (no per-split branches of the plan)."""
+    first, second = splits
+    payload = [c for c in prefixes.columns if c not in ("split", "dedup_key", "trace_pos", "anchor")]
+    win = lambda name: F.min(F.when(F.col("split") == name, F.struct("trace_pos", "anchor", *payload))).alias(name)
+    agg = prefixes.groupBy("dedup_key").agg(win(first), win(second))
+    keep_second = F.col(second).isNotNull()
+    if cross_dedup:
+        keep_second = keep_second & F.col(first).isNull()
+    rows = F.array(F.when(F.col(first).isNotNull(), F.struct(F.lit(first).alias("split"), F.col(first).alias("w"))),
+                   F.when(keep_second, F.struct(F.lit(second).alias("split"), F.col(second).alias("w"))))
+    out = agg.select("dedup_key", F.explode(rows).alias("r")).filter(F.col("r").isNotNull())
+    return out.select(F.col("r.split").alias("split"), "dedup_key", "r.w.*").select(*prefixes.columns)
+
+
 def cross_split_anti(test: DataFrame, retrieval: DataFrame) -> DataFrame:
     """D3: drop test prefixes whose dedup key already occurs in retrieval."""
     keys = retrieval.select("dedup_key").distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trailcast.config import PrefixConfig
 from trailcast.functions.naming import variant_name_py
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
-from trailcast.operators.prefixes import (assemble_prefixes, cross_split_anti, dedup_first_wins,
+from trailcast.operators.prefixes import (assemble_prefixes, dedup_first_wins, dedup_splits,
                                           render_events)
 from trailcast.operators.ranking import row_number_within
 from trailcast.operators.split import row_split, temporal_split
@@ -79,11 +79,8 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
         split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
                                n_traces=stats.traces, **rank_opts)
         pre = assemble_prefixes(events, split, cfg, max_events=stats.longest, n_traces=stats.traces)
-        ded = dedup_first_wins(pre, ["split"])
-        if cfg.cross_dedup:
-            retrieval = ded.filter(F.col("split") == "retrieval")
-            test = cross_split_anti(ded.filter(F.col("split") == "test"), retrieval)
-            ded = retrieval.unionByName(test)
+        # in-split dedup of both splits and the cross-split anti join in one aggregation
+        ded = dedup_splits(pre, cfg.cross_dedup)
     else:
         pre = assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
         ded = dedup_first_wins(pre, [])
