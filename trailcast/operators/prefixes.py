@@ -65,7 +65,12 @@ def block_rows(events: DataFrame, block_size: int, spill: int) -> DataFrame:
 
 def earlier_block_text(blocks: DataFrame, block_size: int, rounds: int, sep: str) -> DataFrame:
     """(case_id, blk, cum_plain, cum_key): text of blocks 0..blk-1 of each trace, by a
-    parallel prefix scan (Hillis-Steele) over the block table."""
+    parallel prefix scan (Hillis-Steele) over the block table.
+
+    Round r: every row is emitted twice with ``explode`` - as itself and as the
+    predecessor of block blk + 2^r - and regrouped by (trace, block): at most two rows per
+    group, one exchange per round, each round reading the previous one once (a self-join
+    would reference the previous round twice and double the plan every round)."""
     own = F.filter("arr", lambda e: e["idx"] < (F.col("blk") + 1) * block_size)
     cur = blocks.select(
         "case_id", "blk",
@@ -73,12 +78,18 @@ def earlier_block_text(blocks: DataFrame, block_size: int, rounds: int, sep: str
         F.array_join(F.transform(own, lambda e: e["act"]), sep).alias("d"))
     for r in range(rounds):
         shift = 1 << r
-        prev = cur.select("case_id", (F.col("blk") + shift).alias("blk"),
-                          F.col("p").alias("pp"), F.col("d").alias("pd"))
-        cur = cur.join(prev, ["case_id", "blk"], "left").select(
-            "case_id", "blk", F.concat_ws(",", "pp", "p").alias("p"),
-            (F.concat(F.coalesce("pd", F.lit("")), "d") if sep == "" else
-             F.concat_ws(sep, "pd", "d")).alias("d"))
+        twice = F.array(F.struct(F.col("blk").alias("k"), F.lit(1).alias("me"), "p", "d"),
+                        F.struct((F.col("blk") + shift).alias("k"), F.lit(0).alias("me"), "p", "d"))
+        g = (cur.select("case_id", F.explode(twice).alias("x"))
+             .groupBy("case_id", F.col("x.k").alias("blk"))
+             .agg(F.sort_array(F.collect_list(F.struct("x.me", "x.p", "x.d"))).alias("xs")))
+        two = F.size("xs") == 2          # [predecessor, itself]
+        cur = g.filter(F.element_at("xs", -1)["me"] == 1).select(
+            "case_id", "blk",
+            F.when(two, F.concat_ws(",", F.col("xs")[0]["p"], F.col("xs")[1]["p"]))
+             .otherwise(F.col("xs")[0]["p"]).alias("p"),
+            F.when(two, F.concat_ws(sep, F.col("xs")[0]["d"], F.col("xs")[1]["d"]))
+             .otherwise(F.col("xs")[0]["d"]).alias("d"))
     return cur.select("case_id", (F.col("blk") + 1).alias("blk"),
                       F.col("p").alias("cum_plain"), F.col("d").alias("cum_key"))
 
