@@ -72,12 +72,19 @@ def run_grid(datasets: DataFrame, models: list[str], dataset: str = "dataset") -
 
 def table_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     """H2: multiset equality on the first column and on whole rows (order ignored,
-    duplicates count), as one row (same_first_column, same_rows)."""
-    first_a, first_b = a.select(a.columns[0]), b.select(b.columns[0])
-    d1 = first_a.exceptAll(first_b).union(first_b.exceptAll(first_a)).agg(F.count(F.lit(1)).alias("n1"))
-    d2 = a.exceptAll(b).union(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n2"))
-    one = d1.withColumn("_k", F.lit(1)).join(d2.withColumn("_k", F.lit(1)), "_k")
-    return one.select((F.col("n1") == 0).alias("same_first_column"), (F.col("n2") == 0).alias("same_rows"))
+    duplicates count), as one row (same_first_column, same_rows).
+
+    Each side is read once: rows are tagged +1 / -1 and summed per whole row, then per
+    first column; the multisets are equal iff every sum is zero."""
+    cols = [f"_c{i}" for i in range(len(a.columns))]
+    tagged = a.toDF(*cols).withColumn("_t", F.lit(1)).unionByName(
+        b.toDF(*cols).withColumn("_t", F.lit(-1)))
+    per_row = tagged.groupBy(*cols).agg(F.sum("_t").alias("_s"))
+    per_first = per_row.groupBy(cols[0]).agg(F.sum("_s").alias("_s1"))
+    n2 = per_row.agg(F.count_if(F.col("_s") != 0).alias("n2")).withColumn("_k", F.lit(1))
+    n1 = per_first.agg(F.count_if(F.col("_s1") != 0).alias("n1")).withColumn("_k", F.lit(1))
+    return n1.join(n2, "_k").select((F.col("n1") == 0).alias("same_first_column"),
+                                    (F.col("n2") == 0).alias("same_rows"))
 
 
 def execution_report(spark: SparkSession, datasets: dict[str, Callable[[], DataFrame]],
