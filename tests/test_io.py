@@ -154,3 +154,22 @@ def test_split_log_runs_and_reports(spark, tmp_dir):
     replace_report(r2, reports)
     got = {r.variant_key: r.run_label for r in spark.read.parquet(reports).collect()}
     assert got == {"b1_g3": "r3", "b2_g3": "r2"}
+
+
+def test_execution_report_sizes(spark, tmp_dir):
+    from trailcast.operators.runs import execution_report
+    df = spark.range(1000).withColumn("x", F.col("id") * 2)
+
+    def writer(name, d):
+        path = os.path.join(tmp_dir, name)
+        d.coalesce(2).write.parquet(path)
+        return path
+
+    def boom():
+        raise ValueError("bad log")
+
+    rep = {r.dataset: r for r in execution_report(spark, {"ok": lambda: df, "bad": boom}, writer).collect()}
+    files = [f for f in os.listdir(os.path.join(tmp_dir, "ok")) if f.endswith(".parquet")]
+    on_disk = sum(os.path.getsize(os.path.join(tmp_dir, "ok", f)) for f in files)
+    assert rep["ok"].output_rows == 1000 and rep["ok"].output_bytes == on_disk
+    assert rep["bad"].error.startswith("ValueError") and rep["bad"].output_rows is None

@@ -102,7 +102,9 @@ def execution_report(spark: SparkSession, datasets: dict[str, Callable[[], DataF
                 path = writer(name, df)
                 out = spark.read.parquet(path)
                 out_rows = out.count()
-                size = out.select(F.sum(F.col("_metadata.file_size"))).first()[0] if path else None
+                files = out.select(F.col("_metadata.file_path").alias("f"),
+                                   F.col("_metadata.file_size").alias("s")).distinct()
+                size = files.agg(F.sum("s")).first()[0]     # each file once
             else:
                 out_rows = df.count()
         except Exception as e:  # one bad dataset must not stop the others
