@@ -79,12 +79,16 @@ def table_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     cols = [f"_c{i}" for i in range(len(a.columns))]
     tagged = a.toDF(*cols).withColumn("_t", F.lit(1)).unionByName(
         b.toDF(*cols).withColumn("_t", F.lit(-1)))
-    per_row = tagged.groupBy(*cols).agg(F.sum("_t").alias("_s"))
-    per_first = per_row.groupBy(cols[0]).agg(F.sum("_s").alias("_s1"))
-    n2 = per_row.agg(F.count_if(F.col("_s") != 0).alias("n2")).withColumn("_k", F.lit(1))
-    n1 = per_first.agg(F.count_if(F.col("_s1") != 0).alias("n1")).withColumn("_k", F.lit(1))
-    return n1.join(n2, "_k").select((F.col("n1") == 0).alias("same_first_column"),
-                                    (F.col("n2") == 0).alias("same_rows"))
+    if len(cols) == 1:
+        per = tagged.groupBy(*cols).agg(F.sum("_t").alias("_s"))
+        n = per.agg(F.count_if(F.col("_s") != 0).alias("n"))
+        return n.select((F.col("n") == 0).alias("same_first_column"), (F.col("n") == 0).alias("same_rows"))
+    # one aggregation for both groupings: GROUPING SETS ((all columns), (first column))
+    sums = tagged.groupingSets([cols, [cols[0]]], *cols).agg(
+        F.sum("_t").alias("_s"), F.grouping_id().alias("_g"))
+    n = sums.agg(F.count_if((F.col("_g") != 0) & (F.col("_s") != 0)).alias("n1"),
+                 F.count_if((F.col("_g") == 0) & (F.col("_s") != 0)).alias("n2"))
+    return n.select((F.col("n1") == 0).alias("same_first_column"), (F.col("n2") == 0).alias("same_rows"))
 
 
 def execution_report(spark: SparkSession, datasets: dict[str, Callable[[], DataFrame]],
