@@ -83,9 +83,10 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
         ded = dedup_splits(pre, cfg.cross_dedup)
     else:
         pre = assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
-        ded = dedup_first_wins(pre, [])
-        # the test size is int(n * p) of the exact deduplicated row count
-        ded = row_split(ded, cfg.test_share, cfg.row_split_seed, **rank_opts)
+        # the test size is int(n * p) of the exact deduplicated row count: write the
+        # deduplicated table once, then count and rank it without rebuilding it
+        ded = materialize(dedup_first_wins(pre, []))
+        ded = row_split(ded, cfg.test_share, cfg.row_split_seed, n_rows=ded.count(), **rank_opts)
     out = row_number_within(ded, ["trace_pos", "anchor"], ["split"], name="row_id", materialize_input=True,
                             n_rows=stats.anchors_upper, **rank_opts)
     out = out.withColumn("row_id", F.col("row_id") - 1).select(*PREFIX_COLUMNS)
