@@ -181,3 +181,11 @@ def test_table_equality(spark):
     firsts = spark.createDataFrame([("a", 1), ("a", 9), ("b", 2)], "k string, v int")
     res = lambda o: tuple(table_equality(base, o).first())
     assert res(same) == (True, True) and res(diff) == (False, False) and res(firsts) == (True, False)
+
+
+def test_nested_value_spans(spark):
+    s = "A - Values: {'x': '{a{b{c}}}'},B - Values: {'y': '{\"k\": {\"j\": 1}}'},C"
+    r = spark.createDataFrame([(s,)], "p string").select(
+        prefix_length(F.col("p")).alias("n"), trim_last_m_values(F.col("p"), 1).alias("t")).first()
+    assert r.n == 3
+    assert r.t == "A,B - Values: {'y': '{\"k\": {\"j\": 1}}'},C"

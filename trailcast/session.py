@@ -60,7 +60,8 @@ def materialize(df, partition_by: list[str] | None = None):
     import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/trailcast-tables/{uuid.uuid4().hex}"
+    # one folder per application: a finished job's intermediates are dropped together
+    path = f"{root}/trailcast-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
