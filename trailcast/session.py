@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="trailcast-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it to a folder shared by "
+                               "the driver and all executors (e.g. on the cluster file system)")
+        configured = tempfile.mkdtemp(prefix="trailcast-ckpt-")   # single-machine runs only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
