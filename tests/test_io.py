@@ -173,3 +173,15 @@ def test_execution_report_sizes(spark, tmp_dir):
     on_disk = sum(os.path.getsize(os.path.join(tmp_dir, "ok", f)) for f in files)
     assert rep["ok"].output_rows == 1000 and rep["ok"].output_bytes == on_disk
     assert rep["bad"].error.startswith("ValueError") and rep["bad"].output_rows is None
+
+
+def test_xes_composite_mode(spark, tmp_dir):
+    """Composite labels: name+lifecycle+resource, no lifecycle filter, those keys leave
+    the value map."""
+    keys = ("lifecycle:transition", "org:resource")
+    log = read_xes_log(spark, _write_xes(tmp_dir), activity_keys=keys)
+    cfg = PrefixConfig(base=1, gap=1, m=1, lifecycle_filter=False)
+    pre = {(r.case_id, r.anchor): r for r in all_prefixes(log, cfg).collect()}
+    assert pre[("case1", 1)].prefix == "A+complete+r,B+complete+r - Values: {'titi': '2020-01-01 10:01:00'}"
+    assert pre[("case1", 4)].prediction == "Z+start+r"      # not filtered in this mode
+    assert pre[("case1", 1)].dedup_key == "A+complete+rB+complete+r"

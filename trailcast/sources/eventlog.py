@@ -141,7 +141,7 @@ def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name",
-               attr_keys: list[str] | None = None) -> DataFrame:
+               attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = ()) -> DataFrame:
     """Canonical log from :func:`read_xes_events`. Trace attributes other than the trace
     id are dropped (C2); ``attr_keys`` lists the event attributes kept as values, in
     column order. Default: the event attribute names present in the log (a distinct
@@ -151,7 +151,8 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
         names = xes_events.select(F.explode(F.map_keys("attributes")).alias("k")).distinct().collect()
         attr_keys = sorted(r.k for r in names)
     keys = attr_keys
-    keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name"]
+    # composite labels (e.g. name + lifecycle + resource + role) leave the values
+    keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name" and k not in activity_keys]
     layout: dict[str, str] = {}
     order: list[str] = []
     for k in keys:
@@ -165,14 +166,15 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
     pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
     return xes_events.select(
         a[trace_identifier].alias("case_id"), pos.cast("long").alias("event_pos"),
-        a["concept:name"].alias("activity"),
+        (composite_activity(a["concept:name"], *[a[k] for k in activity_keys]) if activity_keys
+         else a["concept:name"]).alias("activity"),
         F.to_timestamp(a["time:timestamp"]).alias("ts"),
         a["lifecycle:transition"].alias("lifecycle"), attrs.alias("attrs"))
 
 
 def read_xes_log(spark: SparkSession, path: str, trace_identifier: str = "case:concept:name",
-                 attr_keys: list[str] | None = None) -> DataFrame:
-    return xes_to_log(read_xes_events(spark, path), trace_identifier, attr_keys)
+                 attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = ()) -> DataFrame:
+    return xes_to_log(read_xes_events(spark, path), trace_identifier, attr_keys, activity_keys)
 
 
 def _xes_value_text(key: str, v: F.Column) -> F.Column:
