@@ -44,7 +44,7 @@ def test_xes_to_prefixes(spark, tmp_dir):
     assert log.count() == 11
     pre = {(r.case_id, r.anchor): r for r in all_prefixes(log, PrefixConfig(base=1, gap=1, m=1)).collect()}
     assert pre[("case1", 1)].prefix == \
-        "A,B - Values: {'litr': 'complete', 'orre': 'r', 'titi': '2020-01-01 10:01:00'}"
+        "A,B - Values: {'litr': 'complete', 'orre': 'r', 'titi': '2020-01-01 10:01:00+00:00'}"
     assert pre[("case1", 3)].prediction == "E"
     assert ("case1", 4) not in pre          # the trailing 'start' event is filtered out
     assert pre[("case2", 1)].prediction == "X"
@@ -182,6 +182,18 @@ def test_xes_composite_mode(spark, tmp_dir):
     log = read_xes_log(spark, _write_xes(tmp_dir), activity_keys=keys)
     cfg = PrefixConfig(base=1, gap=1, m=1, lifecycle_filter=False)
     pre = {(r.case_id, r.anchor): r for r in all_prefixes(log, cfg).collect()}
-    assert pre[("case1", 1)].prefix == "A+complete+r,B+complete+r - Values: {'titi': '2020-01-01 10:01:00'}"
+    assert pre[("case1", 1)].prefix == "A+complete+r,B+complete+r - Values: {'titi': '2020-01-01 10:01:00+00:00'}"
     assert pre[("case1", 4)].prediction == "Z+start+r"      # not filtered in this mode
     assert pre[("case1", 1)].dedup_key == "A+complete+rB+complete+r"
+
+
+def test_xes_timestamp_styles(spark):
+    from trailcast.sources.eventlog import xes_timestamp_text
+    df = spark.createDataFrame([("2011-10-01T00:38:44.546+02:00",), ("2011-10-01T00:38:44.000Z",),
+                                ("2011-10-01T00:38:44+0130",)], "t string")
+    got = lambda style: [r[0] for r in df.select(xes_timestamp_text(F.col("t"), style)).collect()]
+    assert got("as_written") == ["2011-10-01 00:38:44.546000+02:00", "2011-10-01 00:38:44+00:00",
+                                 "2011-10-01 00:38:44+01:30"]
+    assert got("utc_offset") == ["2011-09-30 22:38:44.546000+00:00", "2011-10-01 00:38:44+00:00",
+                                 "2011-09-30 23:08:44+00:00"]
+    assert got("naive")[0] == "2011-09-30 22:38:44.546000"

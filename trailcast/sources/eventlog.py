@@ -141,7 +141,8 @@ def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name",
-               attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = ()) -> DataFrame:
+               attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = (),
+               ts_style: str = "utc_offset") -> DataFrame:
     """Canonical log from :func:`read_xes_events`. Trace attributes other than the trace
     id are dropped (C2); ``attr_keys`` lists the event attributes kept as values, in
     column order. Default: the event attribute names present in the log (a distinct
@@ -161,7 +162,7 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
             order.append(ab)
         layout[ab] = k
     attrs = F.array(*[F.struct(F.lit(ab).alias("key"),
-                               F.coalesce(_xes_value_text(layout[ab], a[layout[ab]]),
+                               F.coalesce(_xes_value_text(layout[ab], a[layout[ab]], ts_style),
                                           F.lit("nan")).alias("value")) for ab in order])
     pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
     return xes_events.select(
@@ -173,12 +174,36 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
 
 
 def read_xes_log(spark: SparkSession, path: str, trace_identifier: str = "case:concept:name",
-                 attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = ()) -> DataFrame:
-    return xes_to_log(read_xes_events(spark, path), trace_identifier, attr_keys, activity_keys)
-
-
-def _xes_value_text(key: str, v: F.Column) -> F.Column:
+                 attr_keys: list[str] | None = None, activity_keys: tuple[str, ...] = (),
+                 ts_style: str = "utc_offset") -> DataFrame:
+    return xes_to_log(read_xes_events(spark, path), trace_identifier, attr_keys, activity_keys, ts_style)
+
+
+XES_TS = "^(\\d{4}-\\d{2}-\\d{2})[T ](\\d{2}:\\d{2}:\\d{2})(?:\\.(\\d+))?(Z|[+-]\\d{2}:?\\d{2})?$"
+
+
+def xes_timestamp_text(raw: F.Column, style: str = "utc_offset") -> F.Column:
+    """Text of an XES date the way pandas prints a timestamp (microseconds only when
+    non-zero). ``utc_offset``: UTC time + '+00:00' (tz-aware UTC); ``as_written``: the
+    file's local time and offset; ``naive``: UTC time without offset."""
+    from trailcast.functions.text import timestamp_text
+    if style == "naive":
+        return timestamp_text(F.to_timestamp(raw))
+    if style == "utc_offset":
+        return F.concat(timestamp_text(F.to_timestamp(raw)), F.lit("+00:00"))
+    if style != "as_written":
+        raise ValueError(f"Unsupported timestamp style: {style}")
+    g = lambda i: F.regexp_extract(raw, XES_TS, i)
+    frac = F.rpad(F.substring(g(3), 1, 6), 6, "0")
+    frac = F.when((g(3) == "") | (frac == "000000"), F.lit("")).otherwise(F.concat(F.lit("."), frac))
+    off = g(4)
+    off = (F.when(off == "", F.lit("")).when(off == "Z", F.lit("+00:00"))
+           .when(F.length(off) == 5, F.concat(F.substring(off, 1, 3), F.lit(":"), F.substring(off, 4, 2)))
+           .otherwise(off))
+    return F.when(raw.rlike(XES_TS), F.concat(g(1), F.lit(" "), g(2), frac, off))
+
+
+def _xes_value_text(key: str, v: F.Column, ts_style: str = "utc_offset") -> F.Column:
     if key == "time:timestamp":
-        from trailcast.functions.text import timestamp_text
-        return timestamp_text(F.to_timestamp(v))
+        return xes_timestamp_text(v, ts_style)
     return v
