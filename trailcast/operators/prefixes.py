@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from trailcast.config import PrefixConfig
 from trailcast.functions.text import VALUES_MARKER, py_repr
 
-_EV = "struct<idx:bigint,act:string,plain:string,rich:string>"
 
 
 def map_text(attrs: Column, sort_keys: bool) -> Column:
