@@ -10,7 +10,7 @@ from trailcast.catalog import sqlx
 from trailcast.config import EventLogSpec, PrefixConfig
 from trailcast.functions.text import abbreviate
 from trailcast.operators.clean import drop_null_cases, drop_trace_attributes, lifecycle_filter
-from trailcast.operators.prefixes import map_text, render_events, trace_text
+from trailcast.operators.prefixes import render_events, trace_text
 from trailcast.operators.split import temporal_split
 from trailcast.operators.traces import event_positions, short_trace_filter, trace_table
 from trailcast.plans.build import all_prefixes, build_dataset
@@ -34,8 +34,7 @@ def orders_log(spark, d):
 
 def q_event_log_scan(spark, d):
     log = events_log(spark, d)
-    return log.select("case_id", "event_pos", "activity", "ts",
-                      map_text(F.col("attrs"), True).alias("values_text"))
+    return log.select("case_id", "event_pos", "activity", "ts", F.col("vals_sorted").alias("values_text"))
 
 
 def q_lifecycle_filter(spark, d):

@@ -38,14 +38,15 @@ def render_events(pos_log: DataFrame, cfg: PrefixConfig) -> DataFrame:
     (activity + value map). Reference key order: events rendered with the first anchor
     (idx <= base) keep column order, later ones are sorted (§2.13.2)."""
     act = F.coalesce(F.col("activity"), F.lit("nan"))
+    pre = "vals_sorted" in pos_log.columns      # rendered natively by the source adapter
+    by_key = F.col("vals_sorted") if pre else map_text(F.col("attrs"), True)
+    by_cols = F.col("vals_cols") if pre else map_text(F.col("attrs"), False)
     if cfg.m == 0:
         rich = act
     elif cfg.key_order == "sorted":
-        rich = F.concat(act, F.lit(VALUES_MARKER), map_text(F.col("attrs"), True))
+        rich = F.concat(act, F.lit(VALUES_MARKER), by_key)
     else:
-        rich = F.concat(act, F.lit(VALUES_MARKER),
-                        F.when(F.col("idx") <= cfg.base, map_text(F.col("attrs"), False))
-                        .otherwise(map_text(F.col("attrs"), True)))
+        rich = F.concat(act, F.lit(VALUES_MARKER), F.when(F.col("idx") <= cfg.base, by_cols).otherwise(by_key))
     return pos_log.withColumn("act", act).withColumn("plain", act).withColumn("rich", rich)
 
 
@@ -70,11 +71,13 @@ def earlier_block_text(blocks: DataFrame, block_size: int, rounds: int, sep: str
     predecessor of block blk + 2^r - and regrouped by (trace, block): at most two rows per
     group, one exchange per round, each round reading the previous one once (a self-join
     would reference the previous round twice and double the plan every round)."""
-    own = F.filter("arr", lambda e: e["idx"] < (F.col("blk") + 1) * block_size)
+    # own events come first in the sorted block array; a block is full unless it is the
+    # trace's last one, which has no spill
+    n_own = F.least(F.size("arr"), F.lit(block_size))
     cur = blocks.select(
         "case_id", "blk",
-        F.array_join(F.transform(own, lambda e: e["plain"]), ",").alias("p"),
-        F.array_join(F.transform(own, lambda e: e["act"]), sep).alias("d"))
+        F.array_join(F.slice(F.col("arr.plain"), 1, n_own), ",").alias("p"),
+        F.array_join(F.slice(F.col("arr.act"), 1, n_own), sep).alias("d"))
     for r in range(rounds):
         shift = 1 << r
         twice = F.array(F.struct(F.col("blk").alias("k"), F.lit(1).alias("me"), "p", "d"),
@@ -139,18 +142,23 @@ def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
             .withColumn("cum_key", F.lit(None).cast("string"))
 
     rows = rows.withColumn("anchor", F.explode(anchors_column(F.col("blk"), F.col("n"), cfg, B)))
-    local = F.col("anchor") - F.col("blk") * B
-    part = F.slice("arr", F.lit(1), (local + 1).cast("int"))
-    threshold = F.col("anchor") - cfg.m
-    text = F.array_join(F.transform(part, lambda e: F.when(e["idx"] > threshold, e["rich"])
-                                    .otherwise(e["plain"])), ",")
-    key_local = F.array_join(F.transform(part, lambda e: e["act"]), cfg.dedup_sep)
+    local = (F.col("anchor") - F.col("blk") * B).cast("int")
+    # events 0..local of the block: plain text before the value window, rich text in it
+    # (the last m events); slices of field arrays, no per-element lambdas
+    if cfg.m == 0:
+        text = F.array_join(F.slice(F.col("arr.plain"), 1, local + 1), ",")
+    else:
+        s0 = F.greatest(F.lit(0), local - cfg.m + 1)
+        plain_part = F.when(s0 > 0, F.array_join(F.slice(F.col("arr.plain"), 1, s0), ","))
+        rich_part = F.array_join(F.slice(F.col("arr.rich"), s0 + 1, local + 1 - s0), ",")
+        text = F.concat_ws(",", plain_part, rich_part)
+    key_local = F.array_join(F.slice(F.col("arr.act"), 1, local + 1), cfg.dedup_sep)
     dedup_key = F.concat(F.coalesce("cum_key", F.lit("")), key_local) if cfg.dedup_sep == "" \
         else F.concat_ws(cfg.dedup_sep, "cum_key", key_local)
     out = [F.col("case_id"), F.col("trace_pos")] + ([F.col("split")] if "split" in trace_cols else []) + [
         F.col("anchor").cast("long").alias("anchor"),
         F.concat_ws(",", "cum_plain", text).alias("prefix"),
-        F.element_at("arr", (local + 2).cast("int"))["act"].alias("prediction"),
+        F.element_at(F.col("arr.act"), local + 2).alias("prediction"),
         dedup_key.alias("dedup_key"),
         (F.col("anchor") + 1).cast("long").alias("prefix_len")]
     return rows.select(*out)
@@ -205,7 +213,7 @@ def trace_text(events: DataFrame, traces: DataFrame, block_size: int = 4096,
     rounds = math.ceil(math.log2(n_blocks)) if n_blocks > 1 else 0
     last = traces.select("case_id", "trace_pos", "n",
                          F.floor((F.col("n") - 1) / block_size).cast("long").alias("blk"))
-    own = F.array_join(F.transform("arr", lambda e: e["plain"]), ",")
+    own = F.array_join(F.col("arr.plain"), ",")
     if rounds:
         cum = earlier_block_text(blocks, block_size, rounds, "")
         joined = blocks.join(last, ["case_id", "blk"]).join(cum, ["case_id", "blk"], "left")

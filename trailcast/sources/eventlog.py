@@ -1,7 +1,8 @@
 """Event log sources (A1 XES, A2 tabular) producing the canonical event log:
 
     case_id, event_pos bigint, activity string, ts, [lifecycle string],
-    attrs array<struct<key string, value string>>   (value text in column order)
+    attrs array<struct<key string, value string>>   (value text in column order),
+    vals_cols / vals_sorted string                  (rendered value map, both key orders)
 
 ``event_pos`` is the total order the reference takes from file order; every first-wins
 and tie rule downstream reads it.
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailcast.config import EventLogSpec
-from trailcast.functions.text import abbreviate_name, composite_activity, value_text
+from trailcast.functions.text import abbreviate_name, composite_activity, py_repr, value_text
 
 CASE_PREFIX = "case:"
 
@@ -37,6 +38,16 @@ def attribute_layout(columns: list[str], spec: EventLogSpec) -> list[tuple[str,
     return [(k, source[k]) for k in order]
 
 
+def rendered_maps(pairs: list[tuple[str, F.Column]]) -> tuple[F.Column, F.Column]:
+    """Value-map text ``{'key': 'value', ...}`` in column order and in sorted key order,
+    built with native string functions: the keys are known from the schema, so no
+    per-row array work or lambdas are needed."""
+    def render(ps):
+        items = [F.concat(F.lit(repr(k) + ": "), py_repr(v)) for k, v in ps]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")) if items else F.lit("{}")
+    return render(pairs), render(sorted(pairs, key=lambda kv: kv[0]))
+
+
 def from_table(df: DataFrame, spec: EventLogSpec) -> DataFrame:
     """A2: map a tabular table onto the canonical event log (no rows dropped here)."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
@@ -54,7 +65,8 @@ def from_table(df: DataFrame, spec: EventLogSpec) -> DataFrame:
             (F.col(spec.ts_col) if spec.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts")]
     if spec.lifecycle_col:
         cols.append(F.col(spec.lifecycle_col).cast("string").alias("lifecycle"))
-    cols.append(attrs.alias("attrs"))
+    by_cols, by_key = rendered_maps([(k, value_text(F.col(c), dtypes[c])) for k, c in layout])
+    cols += [attrs.alias("attrs"), by_cols.alias("vals_cols"), by_key.alias("vals_sorted")]
     return df.select(*cols)
 
 
@@ -161,16 +173,18 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
         if ab not in layout:
             order.append(ab)
         layout[ab] = k
-    attrs = F.array(*[F.struct(F.lit(ab).alias("key"),
-                               F.coalesce(_xes_value_text(layout[ab], a[layout[ab]], ts_style),
-                                          F.lit("nan")).alias("value")) for ab in order])
+    texts = [(ab, F.coalesce(_xes_value_text(layout[ab], a[layout[ab]], ts_style), F.lit("nan")))
+             for ab in order]
+    attrs = F.array(*[F.struct(F.lit(ab).alias("key"), t.alias("value")) for ab, t in texts])
+    by_cols, by_key = rendered_maps(texts)
     pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
     return xes_events.select(
         a[trace_identifier].alias("case_id"), pos.cast("long").alias("event_pos"),
         (composite_activity(a["concept:name"], *[a[k] for k in activity_keys]) if activity_keys
          else a["concept:name"]).alias("activity"),
         F.to_timestamp(a["time:timestamp"]).alias("ts"),
-        a["lifecycle:transition"].alias("lifecycle"), attrs.alias("attrs"))
+        a["lifecycle:transition"].alias("lifecycle"), attrs.alias("attrs"),
+        by_cols.alias("vals_cols"), by_key.alias("vals_sorted"))
 
 
 def read_xes_log(spark: SparkSession, path: str, trace_identifier: str = "case:concept:name",
