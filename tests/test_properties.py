@@ -43,3 +43,20 @@ def test_assembly_matches_semantics(spark, traces, base, gap, m, block):
     got = all_prefixes(log, PrefixConfig(base=base, gap=gap, m=m, block_size=block))
     got = {(r.case_id, r.anchor, r.prefix, r.prediction, r.dedup_key) for r in got.collect()}
     assert got == expected(traces, base, gap, m)
+
+
+rows_st = st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", "c"]),
+                             st.integers(-5, 5), st.text(alphabet="xyzé", max_size=3)),
+                   min_size=1, max_size=300)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=rows_st, per_bucket=st.integers(1, 60), grouped=st.booleans())
+def test_bucketed_ranking_matches_window(spark, rows, per_bucket, grouped):
+    from trailcast.operators.ranking import row_number_within
+    data = [(g, k, s, i) for i, (g, k, s) in enumerate(rows)]     # i makes the order unique
+    df = spark.createDataFrame(data, "g string, k long, s string, i long")
+    part = ["g"] if grouped else []
+    plain = row_number_within(df, ["k", "s", "i"], part)
+    buck = row_number_within(df, ["k", "s", "i"], part, small_rows=0, rows_per_bucket=per_bucket)
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r) for r in buck.collect())
