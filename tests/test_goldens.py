@@ -189,3 +189,11 @@ def test_nested_value_spans(spark):
         prefix_length(F.col("p")).alias("n"), trim_last_m_values(F.col("p"), 1).alias("t")).first()
     assert r.n == 3
     assert r.t == "A,B - Values: {'y': '{\"k\": {\"j\": 1}}'},C"
+
+
+def test_normalize_label_matches_python_strip_and_casefold(spark):
+    from trailcast.functions.text import normalize_label
+    raw = ["\x1c Straße ", "ΣΟΦΟΣ", "ﬁnal ſtep", "\"'Send\\ Fine'\"", "İstanbul"]
+    expected = [r.replace("\\ ", " ").strip().strip("\"'").casefold() for r in raw]
+    df = spark.createDataFrame([(r,) for r in raw], "x string")
+    assert [r[0] for r in df.select(normalize_label(F.col("x"))).collect()] == expected
