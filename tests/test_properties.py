@@ -3,6 +3,8 @@ direct statement of the semantics (exactly the last m events of a prefix carry v
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from trailcast.config import EventLogSpec, PrefixConfig
 from trailcast.plans.build import all_prefixes
 from trailcast.sources.eventlog import from_table
@@ -60,3 +62,13 @@ def test_bucketed_ranking_matches_window(spark, rows, per_bucket, grouped):
     plain = row_number_within(df, ["k", "s", "i"], part)
     buck = row_number_within(df, ["k", "s", "i"], part, small_rows=0, rows_per_bucket=per_bucket)
     assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r) for r in buck.collect())
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(
+    ["a", "'", '"', "\\", "\n", "\t", "\r", "\x00", "\x07", "\x1f", "\x7f", "\x85", "\xa0", "\xad",
+     "é", " ", "{", "}"]), max_size=8), min_size=1, max_size=30))
+def test_py_repr_matches_python_repr(spark, texts):
+    from trailcast.functions.text import py_repr
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(py_repr(F.col("t"))).collect()] == [repr(t) for t in texts]
