@@ -197,3 +197,16 @@ def test_normalize_label_matches_python_strip_and_casefold(spark):
     expected = [r.replace("\\ ", " ").strip().strip("\"'").casefold() for r in raw]
     df = spark.createDataFrame([(r,) for r in raw], "x string")
     assert [r[0] for r in df.select(normalize_label(F.col("x"))).collect()] == expected
+
+
+def test_float_text_matches_python(spark):
+    """Guarantee: Python's str(float) for every value with at most 15 significant digits
+    (any magnitude) and for nan / inf. Values needing 16-17 digits may keep Java's
+    17-digit text when Java's digits are not the shortest."""
+    import random
+    from trailcast.functions.text import python_float_text
+    rnd = random.Random(7)
+    vals = [0.0, 1.0, 6.55, 1e7, 12345678.0, 1e16, 1e-4, 1e-5, float("nan"), float("inf"), -2.5e-7, 1e22]
+    vals += [float(f"{rnd.uniform(-1, 1) * 10 ** rnd.randint(-8, 20):.{rnd.randint(0, 14)}e}") for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert [r[0] for r in df.select(python_float_text(F.col("x"))).collect()] == [str(v) for v in vals]
