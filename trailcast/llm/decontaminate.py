@@ -264,7 +264,7 @@ def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """``keep`` columns of every row, n_words, starts and ends (maximal runs of words inside
     occurrences of a window, end exclusive, ascending) and items (ascending ids)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
+    narrow = scratch.numbered(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text")))
     parts = []
     for k, block in enumerate(blocks_of(benchmark, item_col, item_text, block_words)):
         windows = Windows(block, window)
@@ -302,7 +302,7 @@ def matches(docs: DataFrame, queries: list[tuple[int, str]], span: int | None =
     scratch = Scratch(docs.sparkSession, "matches")
     longest = max([len(textops.word_list(t)) for _, t in queries] + [span or 1, 1])
     windows = Windows(queries, longest)
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = scratch.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     index = build_index(narrow, windows.terms, longest, scratch, "index", shard_words)
     terms, offsets, sizes = windows.by_rarity(term_counts(index, len(windows.terms)))
     n_terms = len(windows.terms)

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailcast.llm import bpe, decontaminate, quality, simhash, token_files, toxicity
+from trailcast.llm import bpe, decontaminate, embeddings, licenses, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -24,6 +33,10 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark, sf_dir):
     return token_files.index_of_documents(table(spark, sf_dir, "documents"), bpe.tokenizer_file("byte_bpe_50k.json"))
 
@@ -36,5 +49,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_classifier, op5_bpe_round_trip, op7_token_files, op8_simhash_near_dedup, op9_toxicity)}
-ORACLE: dict[str, str] = {}
+def op10_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_bpe_round_trip, op6_license_scan, op7_token_files, op8_simhash_near_dedup, op9_toxicity, op10_suffix_dedup)}
+ORACLE: dict[str, str] = {"op6_license_scan": licenses.oracle_sql()}

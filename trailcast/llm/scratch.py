@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailcast.session import ensure_checkpoint_dir
 
@@ -71,3 +72,12 @@ class Scratch:
         for label in labels:
             path = jvm.org.apache.hadoop.fs.Path(self._path(label))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def numbered(self, df: DataFrame, label: str = "numbered") -> DataFrame:
+        """``df`` with a column row that numbers its rows, the same in every read. Rows of
+        files keep their numbers; anything computed is written once, since a shuffle may
+        deal its rows otherwise when other columns are asked for."""
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        heads = {line.lstrip(" :+-").split(" ")[0] for line in plan.strip().split("\n")}
+        numbered = df.withColumn("row", F.monotonically_increasing_id())
+        return numbered if heads <= {"Relation", "Project", "Filter"} else self.write(numbered, label)

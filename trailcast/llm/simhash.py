@@ -370,15 +370,35 @@ def links_within(distinct: DataFrame, scratch: Scratch, distance: int = 3, bucke
     return _bucket_links(plain, ["part", "value"], distance).union(_bucket_links(rows, [*keys, "lo", "hi"], distance))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: the id, ``keep`` columns, fingerprint (16 hexadecimal
-    digits) and component_id (smallest id reachable by links of at most ``distance`` bits)."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _classes(docs: DataFrame, width: int, distance: int, text_col: str, id_col: str, keep: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """id, ``keep`` columns, fp, root (the class) and component_id of every row."""
     prints = scratch.write(fingerprints(docs, width, text_col, (id_col, *keep)), "prints")
     distinct = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = connected_components(links_within(distinct, scratch, distance), scratch)
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.write(of.join(smallest, "root").select("fp", "component_id"), "classes")
-    text = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(classes, "fp").select(id_col, *keep, text, "component_id")
+    return prints.join(scratch.write(of.join(smallest, "root").select("fp", "root", "component_id"), "classes"), "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: the id, fingerprint (16 hexadecimal digits) and component_id
+    (smallest id reachable by links of at most ``distance`` bits)."""
+    rows = _classes(docs.select(id_col, text_col), width, distance, text_col, id_col, (), Scratch(docs.sparkSession, "simhash"))
+    return rows.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, distance: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with one of each class left, with all their columns: the least id
+    (a null id comes last), and of several rows with that id the least text hash."""
+    scratch = Scratch(docs.sparkSession, "simhash-keep")
+    keyed = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text__"), F.xxhash64(F.col(text_col)).alias("hash__"))
+    rows = _classes(keyed, width, distance, "text__", "id__", ("hash__",), scratch)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id__").isNull().alias("null__"), "id__", "hash__")).alias("of"), F.count("*").alias("n"))
+    stay = best.select("of.id__", "of.hash__", F.col("n").alias("n__")).groupBy("id__", "hash__").agg(F.max("n__").alias("n__"))
+    stay = scratch.write(stay, "stay")
+    same = stay["id__"].eqNullSafe(docs[id_col]) & (stay["hash__"] == F.xxhash64(docs[text_col]))
+    left = docs.join(stay, same)
+    # only rows of classes with copies can be there twice
+    once = left.where("n__ = 1").select(*docs.columns)
+    copies = left.where("n__ > 1").dropDuplicates(["id__", "hash__"]).select(*docs.columns)
+    return once.union(copies)
