@@ -210,3 +210,20 @@ def test_float_text_matches_python(spark):
     vals += [float(f"{rnd.uniform(-1, 1) * 10 ** rnd.randint(-8, 20):.{rnd.randint(0, 14)}e}") for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert [r[0] for r in df.select(python_float_text(F.col("x"))).collect()] == [str(v) for v in vals]
+
+
+def test_spans_of_any_length_and_depth(spark):
+    big = "a - Values: {'x': '" + "y" * 1_000_000 + "'},b"
+    deep = "a - Values: {'x': '" + "{" * 50 + "z" + "}" * 50 + "'},b, c - Values: {'q': '1'}"
+    inner = "a - Values: {'x': '{b - Values: {c}}'},d - Values: {open,e"
+    df = spark.createDataFrame([(big,), (deep,), (inner,)], "p string")
+    r = df.select(prefix_length(F.col("p")).alias("n"), trim_last_m_values(F.col("p"), 1).alias("t")).collect()
+    assert [x.n for x in r] == [2, 3, 3]
+    assert r[0].t == big and r[1].t == "a,b, c - Values: {'q': '1'}" and r[2].t == inner
+
+
+def test_casefold_is_the_full_folding(spark):
+    from trailcast.functions.text import casefold
+    texts = ["Straße ﬃ ς", "ΑΒΓ", "ẞᎠꭰ", "plain", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(casefold(F.col("t"))).collect()] == [t.casefold() for t in texts]

@@ -197,3 +197,22 @@ def test_xes_timestamp_styles(spark):
     assert got("utc_offset") == ["2011-09-30 22:38:44.546000+00:00", "2011-10-01 00:38:44+00:00",
                                  "2011-09-30 23:08:44+00:00"]
     assert got("naive")[0] == "2011-09-30 22:38:44.546000"
+
+
+def test_labels_round_trip(spark, tmp_dir):
+    from trailcast.sinks.writers import write_labels
+    df = spark.createDataFrame([("v1", "ev", "event"), ("v1", "am", "amount"), ("v2", "ev", "other")],
+                               "variant string, key string, label string")
+    path = write_labels(df, os.path.join(tmp_dir, "labels"))
+    got = sorted(tuple(r) for r in read_attribute_labels(spark, f"{path}/variant=v1").collect())
+    assert got == [("am", "amount"), ("ev", "event")]
+
+
+def test_xes_repeated_key_last_value_wins(spark, tmp_dir):
+    from trailcast.sources.eventlog import read_xes_events
+    path = os.path.join(tmp_dir, "log.xes")
+    with open(path, "w") as f:
+        f.write('<log><trace><string key="concept:name" value="t"/><event><string key="concept:name" value="a"/>'
+                '<string key="x" value="1"/><string key="x" value="2"/></event></trace></log>')
+    rows = read_xes_events(spark, path).collect()
+    assert [r.attributes for r in rows] == [{"case:concept:name": "t", "concept:name": "a", "x": "2"}]

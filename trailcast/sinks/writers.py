@@ -55,9 +55,12 @@ def write_vectors(vectors: DataFrame, path: str) -> str:
 
 
 def write_labels(key_labels: DataFrame, path: str, group: str = "variant") -> str:
-    """Attribute labels per variant, sorted by key."""
+    """Attribute labels per variant as one JSON object key -> label, keys sorted (what
+    ``read_attribute_labels`` reads)."""
     _dynamic(key_labels)
-    key_labels.orderBy(group, "key").write.mode("overwrite").partitionBy(group).json(path)
+    pairs = F.array_sort(F.collect_set(F.struct("key", "label")))
+    objects = key_labels.groupBy(group).agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+    objects.write.mode("overwrite").partitionBy(group).text(path)
     return path
 
 

@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailcast.config import EventLogSpec
-from trailcast.functions.text import abbreviate_name, composite_activity, py_repr, value_text
+from trailcast.functions.text import abbreviate, composite_activity, py_repr, value_text
 
 CASE_PREFIX = "case:"
 
 
-def attribute_layout(columns: list[str], spec: EventLogSpec) -> list[tuple[str, str]]:
+def abbreviations(spark: SparkSession, names: list[str]) -> dict[str, str]:
+    """:func:`abbreviate` of column or attribute names (schema metadata)."""
+    if not names:
+        return {}
+    row = spark.range(1).select(*[abbreviate(F.lit(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    return dict(zip(names, row))
+
+
+def attribute_layout(spark: SparkSession, columns: list[str], spec: EventLogSpec) -> list[tuple[str, str]]:
     """(abbreviated key, source column) pairs in column order. Columns that share an
     abbreviation share one key: first position, last column's value (§2.13.4)."""
     excluded = {spec.case_col, spec.activity_col, *spec.activity_cols, *spec.extra_excluded}
@@ -28,34 +36,38 @@ def attribute_layout(columns: list[str], spec: EventLogSpec) -> list[tuple[str,
         [c for c in columns if c not in excluded]
     order: list[str] = []
     source: dict[str, str] = {}
+    short = abbreviations(spark, cols)
     for c in cols:
         if c in excluded:
             continue
-        k = abbreviate_name(c)
+        k = short[c]
         if k not in source:
             order.append(k)
         source[k] = c
     return [(k, source[k]) for k in order]
 
 
-def rendered_maps(pairs: list[tuple[str, F.Column]]) -> tuple[F.Column, F.Column]:
-    """Value-map text ``{'key': 'value', ...}`` in column order and in sorted key order,
-    built with native string functions: the keys are known from the schema, so no
-    per-row array work or lambdas are needed."""
-    def render(ps):
-        items = [F.concat(F.lit(repr(k) + ": "), py_repr(v)) for k, v in ps]
-        return F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")) if items else F.lit("{}")
-    return render(pairs), render(sorted(pairs, key=lambda kv: kv[0]))
+def rendered(base: DataFrame, values: list[tuple[str, F.Column]]) -> DataFrame:
+    """``base`` with attrs and the value-map texts ``{'key': 'value', ...}`` in column order
+    and in sorted key order, by native string functions. Each value is written once, and
+    quoted once, in a projection of its own; what a job doesn't read is pruned."""
+    keys = [k for k, _ in values]
+    names = base.columns
+    if not keys:
+        return base.select(*names, F.array().cast("array<struct<key:string,value:string>>").alias("attrs"),
+                           F.lit("{}").alias("vals_cols"), F.lit("{}").alias("vals_sorted"))
+    written = base.select(*names, *[v.alias(f"_v{i}") for i, (_, v) in enumerate(values)])
+    quoted = written.select("*", *[py_repr(F.col(f"_v{i}")).alias(f"_q{i}") for i in range(len(keys))])
+    items = {k: F.concat(F.lit(repr(k) + ": "), F.col(f"_q{i}")) for i, k in enumerate(keys)}
+    text = lambda ks: F.concat(F.lit("{"), F.concat_ws(", ", *[items[k] for k in ks]), F.lit("}"))
+    attrs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_v{i}").alias("value")) for i, k in enumerate(keys)])
+    return quoted.select(*names, attrs.alias("attrs"), text(keys).alias("vals_cols"), text(sorted(keys)).alias("vals_sorted"))
 
 
 def from_table(df: DataFrame, spec: EventLogSpec) -> DataFrame:
     """A2: map a tabular table onto the canonical event log (no rows dropped here)."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    layout = attribute_layout(df.columns, spec)
-    attrs = F.array(*[F.struct(F.lit(k).alias("key"),
-                               value_text(F.col(c), dtypes[c]).alias("value"))
-                      for k, c in layout]) if layout else \
-        F.array().cast("array<struct<key:string,value:string>>")
+    layout = attribute_layout(df.sparkSession, df.columns, spec)
     act = F.col(spec.activity_col).cast("string")
     if spec.activity_cols:
         act = composite_activity(F.col(spec.activity_col), *[F.col(c) for c in spec.activity_cols])
@@ -65,9 +77,10 @@ def from_table(df: DataFrame, spec: EventLogSpec) -> DataFrame:
             (F.col(spec.ts_col) if spec.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts")]
     if spec.lifecycle_col:
         cols.append(F.col(spec.lifecycle_col).cast("string").alias("lifecycle"))
-    by_cols, by_key = rendered_maps([(k, value_text(F.col(c), dtypes[c])) for k, c in layout])
-    cols += [attrs.alias("attrs"), by_cols.alias("vals_cols"), by_key.alias("vals_sorted")]
-    return df.select(*cols)
+    heads = ["case_id", "event_pos", "activity", "ts"] + (["lifecycle"] if spec.lifecycle_col else [])
+    base = df.select(*cols, *[F.col(c).alias(f"_c{i}") for i, (_, c) in enumerate(layout)])
+    out = rendered(base, [(k, value_text(F.col(f"_c{i}"), dtypes[c])) for i, (k, c) in enumerate(layout)])
+    return out.select(*heads, "attrs", "vals_cols", "vals_sorted")
 
 
 # --------------------------------------------------------------------------- presets
@@ -118,9 +131,16 @@ XES_TRACE_SCHEMA = T.StructType([T.StructField(k, _ATTR) for k in _ATTR_KINDS] +
 def _attr_map(struct_col: F.Column) -> F.Column:
     """All typed key/value children of an XES element as one map<string,string>."""
     arrays = [F.coalesce(struct_col[k], F.array().cast(_ATTR)) for k in _ATTR_KINDS]
-    entries = F.transform(F.concat(*arrays), lambda a: F.struct(a["_key"].alias("key"),
-                                                                a["_value"].alias("value")))
-    return F.map_from_entries(entries)
+    entries = F.transform(F.concat(*arrays), lambda a: F.named_struct(F.lit("key"), a["_key"], F.lit("value"), a["_value"]))
+    return _last_wins(entries)
+
+
+def _last_wins(entries: F.Column) -> F.Column:
+    """Map from key/value entries; of a repeated key the last value stays."""
+    def later(e, i):
+        rest = F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0)))
+        return F.exists(rest, lambda r: r["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: e["key"].isNotNull() & ~later(e, i)))
 
 
 TRACE_SHIFT = 1 << 24   # event_pos = trace_pos * TRACE_SHIFT + position inside the trace
@@ -149,7 +169,7 @@ def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
         F.transform_keys(trace_attrs, lambda k, v: F.concat(F.lit(CASE_PREFIX), k)).alias("_tattrs"),
         F.posexplode("event").alias("event_in_trace", "ev"))
     return ev.select("trace_pos", "event_in_trace",
-                     F.map_concat(F.col("_tattrs"), _attr_map(F.col("ev"))).alias("attributes"))
+                     _last_wins(F.concat(F.map_entries("_tattrs"), F.map_entries(_attr_map(F.col("ev"))))).alias("attributes"))
 
 
 def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name",
@@ -168,23 +188,22 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
     keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name" and k not in activity_keys]
     layout: dict[str, str] = {}
     order: list[str] = []
+    short = abbreviations(xes_events.sparkSession, keys)
     for k in keys:
-        ab = abbreviate_name(k)
+        ab = short[k]
         if ab not in layout:
             order.append(ab)
         layout[ab] = k
     texts = [(ab, F.coalesce(_xes_value_text(layout[ab], a[layout[ab]], ts_style), F.lit("nan")))
              for ab in order]
-    attrs = F.array(*[F.struct(F.lit(ab).alias("key"), t.alias("value")) for ab, t in texts])
-    by_cols, by_key = rendered_maps(texts)
     pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
-    return xes_events.select(
+    base = xes_events.select(
         a[trace_identifier].alias("case_id"), pos.cast("long").alias("event_pos"),
         (composite_activity(a["concept:name"], *[a[k] for k in activity_keys]) if activity_keys
          else a["concept:name"]).alias("activity"),
         F.to_timestamp(a["time:timestamp"]).alias("ts"),
-        a["lifecycle:transition"].alias("lifecycle"), attrs.alias("attrs"),
-        by_cols.alias("vals_cols"), by_key.alias("vals_sorted"))
+        a["lifecycle:transition"].alias("lifecycle"), a.alias("attributes"))
+    return rendered(base, texts).drop("attributes")
 
 
 def read_xes_log(spark: SparkSession, path: str, trace_identifier: str = "case:concept:name",

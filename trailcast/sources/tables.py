@@ -5,6 +5,7 @@ Every reader declares its schema; nothing is inferred (labels such as ``NA`` or
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,10 @@ def read_attribute_labels(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.createDataFrame([], "abbr string, label string")
     try:
         raw = spark.read.text(path, wholetext=True)
-    except Exception:  # missing file: no legend
-        return empty
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty                            # missing file: no legend
     parsed = raw.select(F.from_json(_strip_bom(F.col("value")),
                                     T.MapType(T.StringType(), T.StringType())).alias("m"))
     return parsed.select(F.explode("m").alias("abbr", "label"))
