@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     return narrow.mapInArrow(run, schema)
 
 
-def _encoded(column, vocab, encoder=None, limit: int = 3 << 20):
+def _encoded(column, vocab, encoder=None, limit: int = 1000 << 10):
     _, offsets = textops.text_bytes(column)
     for lo, hi in textops.pieces(offsets, limit):
         texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]

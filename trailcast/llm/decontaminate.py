@@ -99,7 +99,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, hole: int, scratch: Scratch,
         for batch in batches:
             data, offsets = textops.text_bytes(batch.column(1))
             own_rows = batch.column(0).to_numpy()
-            for lo, hi in textops.pieces(offsets, 1 << 20):
+            for lo, hi in textops.pieces(offsets, 1000 << 10):
                 at = offsets[lo:hi + 1]
                 hashes, first = textops.words(data[at[0]:at[-1]], at - at[0])
                 n = np.diff(first)

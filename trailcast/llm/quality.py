@@ -29,7 +29,7 @@ from trailcast.llm.scratch import prepare
 BITS = 18
 PER_CLASS = 3000
 SCALE = 8.0
-MAX_TEXT = 1 << 20
+MAX_TEXT = 1000 << 10
 
 
 def _tables():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trailcast.session import ensure_checkpoint_dir
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 _shipped: set[str] = set()

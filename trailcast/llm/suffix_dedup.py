@@ -38,7 +38,7 @@ from trailcast.llm.scratch import Scratch
 LENGTH = 400
 GRAM = 40
 BLOCK_CLASSES = 256
-PIECE = 1 << 20
+PIECE = 1000 << 10
 SORT_BYTES = 1 << 20
 
 

@@ -35,7 +35,7 @@ def pieces(offsets: np.ndarray, limit: int):
         lo = hi
 
 
-@lru_cache(maxsize=6)
+@lru_cache(maxsize=8)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     def column(b):
         out = np.full(size, b, np.uint64)
@@ -48,7 +48,7 @@ def prefix_hashes(symbols: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.n
     """Prefix sums of sum(symbol * base**i) modulo 2**64 and the inverse powers, for
     :func:`span_hashes`."""
     n = len(symbols)
-    size = 1 << 18 if n < 1 << 18 else 1 << max(22, n.bit_length())
+    size = 1 << max(18, n.bit_length())
     power, inverse = _powers(BASES[which], size)
     out = np.zeros(len(symbols) + 1, np.uint64)
     terms = symbols.astype(np.uint64)
