@@ -38,6 +38,7 @@ from trailcast.llm.scratch import Scratch
 MAGIC = b"WVM1"
 SUPER = 512
 SHARD_BYTES = 24 << 20
+PIECE = 3 << 20          # text encoded at once: more of it has fewer distinct words to merge
 CODEC = "zstd"
 
 
@@ -200,7 +201,7 @@ def write_files(docs: DataFrame, path: str, scratch: Scratch, end_id: int = 0, s
         chunks, doc_ids, sizes = [], [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            for _, _, ids, at in bpe._encoded(batch.column(1), vocab):
+            for _, _, ids, at in bpe._encoded(batch.column(1), vocab, limit=PIECE):
                 ids = np.insert(ids, at[1:], end)
                 chunks.append(ids.astype(np.uint16) if small else ids)
                 sizes.append(np.diff(at) + 1)
