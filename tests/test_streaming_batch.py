@@ -7,6 +7,7 @@ from trailcast.config import PrefixConfig
 from trailcast.plans.batch import preprocess_many
 from trailcast.plans.build import build_dataset
 from trailcast.sources.eventlog import EVENTS_SPEC, from_table
+from trailcast.sources.tables import read_attribute_labels
 from trailcast.streaming.ingest import start_prefix_ingest
 
 SF = "/root/testdata/sf0.001"
@@ -43,8 +44,8 @@ def test_preprocess_many(spark, tmp_dir):
     vec = spark.read.parquet(os.path.join(tmp_dir, "vectors"))
     assert vec.filter("variant = 'last_3_b1_g3_events'").count() == \
         spark.read.parquet(os.path.join(tmp_dir, "prefixes")).filter("split = 'retrieval'").count()
-    labels = spark.read.json(os.path.join(tmp_dir, "labels"))
-    assert sorted(r.key for r in labels.collect()) == ["ev", "pr", "ts", "va"]
+    labels = read_attribute_labels(spark, os.path.join(tmp_dir, "labels", "variant=last_3_b1_g3_events"))
+    assert sorted(r.abbr for r in labels.collect()) == ["ev", "pr", "ts", "va"]
 
 
 def test_stream_restart_processes_only_new_logs(spark, tmp_dir):

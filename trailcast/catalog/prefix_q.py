@@ -43,11 +43,9 @@ def q_lifecycle_filter(spark, d):
 
 
 def q_event_projection(spark, d):
-    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "case:concept:name")
-    cust = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("_ck"), F.col("c_name").alias("case:c_name"),
-        F.col("c_acctbal").alias("case:c_acctbal"), F.col("c_mktsegment").alias("case:c_mktsegment"))
-    log = orders.join(cust, F.col("`case:concept:name`") == F.col("_ck"), "left").drop("_ck")
+    log = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("case:concept:name"), F.col("o_orderstatus").alias("case:status"),
+        F.col("o_totalprice").alias("case:price"), "o_orderdate", "o_orderpriority")
     return drop_trace_attributes(log, "case:concept:name")
 
 
@@ -131,6 +129,13 @@ def q_row_split(spark, d):
         "split", "row_id", "dedup_key", "prefix", "prediction")
 
 
+def q_lifecycle_dedup(spark, d):
+    """Dedup order follows the kept events, the temporal split all of them."""
+    log = from_table(events_with_lifecycle(spark, d), EVENTS_LIFECYCLE_SPEC)
+    return build_dataset(log, PrefixConfig(base=0, gap=1, m=0, cross_dedup=True)).select(
+        "split", "row_id", "case_id", "anchor", "prefix", "prediction", "prefix_len")
+
+
 # The same results through the distributed paths a large log takes: range-bucketed
 # ranking (every count treated as large) and 8-event blocks joined by a multi-round
 # prefix scan. Checked against the same oracle SQL as the default plans.
@@ -180,6 +185,7 @@ QUERIES = {
     "cross_split_anti": q_cross_split_anti,
     "temporal_split": q_temporal_split,
     "row_split": q_row_split,
+    "lifecycle_dedup": q_lifecycle_dedup,
     "attribute_abbrev": q_attribute_abbrev,
     "prefix_dedup_scale_path": q_prefix_dedup_scale_path,
     "trace_assembly_scale_path": q_trace_assembly_scale_path,
@@ -246,9 +252,8 @@ ORACLE = {
     "lifecycle_filter": f"""SELECT user_id AS case_id, event_id AS event_pos, event_type AS activity,
         lc AS lifecycle FROM (SELECT *, {_LC} AS lc FROM events)
         WHERE lower(regexp_replace(lc, '^\\s+|\\s+$', '', 'g')) IN ('complete', 'completed')""",
-    "event_projection": """SELECT o.o_orderkey, o.o_custkey AS "case:concept:name", o.o_orderstatus,
-        o.o_totalprice, o.o_orderdate, o.o_orderpriority
-        FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
+    "event_projection": """SELECT o_orderkey, o_custkey AS "case:concept:name", o_orderdate, o_orderpriority
+        FROM orders""",
     "trace_assembly": """SELECT user_id AS case_id, min(event_id) AS trace_pos, count(*) AS n_events,
         string_agg(event_type, ',' ORDER BY ts, event_id) AS activities FROM events
         WHERE user_id IS NOT NULL GROUP BY user_id""",
@@ -292,5 +297,8 @@ SELECT split, row_number() OVER (PARTITION BY split ORDER BY trace_pos, anchor)
     "attribute_abbrev": f"""SELECT p_partkey, {sqlx.abbrev_sql('p_type')} AS abbr_type,
         {sqlx.abbrev_sql('p_name')} AS abbr_name FROM part""",
 }
+_KEPT = f"lower(regexp_replace({_LC}, '^\\s+|\\s+$', '', 'g')) IN ('complete', 'completed')"
+_LC_POS = sqlx.EVENTS_POS.replace("FROM events", f"FROM events WHERE {_KEPT}")
+ORACLE["lifecycle_dedup"] = _dedup_sql(_prefix_sql(_LC_POS, 0, 1, "e.act"), _split_sql(sqlx.EVENTS_POS), cross=True)
 ORACLE["prefix_dedup_scale_path"] = ORACLE["prefix_dedup"]
 ORACLE["trace_assembly_scale_path"] = ORACLE["trace_assembly"]

@@ -18,14 +18,14 @@ Assembly works on bounded blocks of ``block_size`` consecutive events of one tra
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailcast.config import PrefixConfig
 from trailcast.functions.text import VALUES_MARKER, py_repr
-
-
+from trailcast.operators.split import seeded_order_key
 
 def map_text(attrs: Column, sort_keys: bool) -> Column:
     arr = F.array_sort(attrs) if sort_keys else attrs
@@ -111,20 +111,19 @@ def anchors_column(blk: Column, n: Column, cfg: PrefixConfig, block_size: int) -
 BROADCAST_TRACES = 1_000_000   # trace rows (case, position, count, split) broadcast below this
 
 
-def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
-                      max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
-    """Anchor rows for every trace with more than two events.
+def trace_blocks(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
+                 max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
+    """Event blocks of every trace with more than two events, with the trace's columns and
+    the text of its earlier blocks: case_id, blk, arr, trace_pos, n [, split], cum_plain,
+    cum_key. Linear in the log (but for the earlier text, one copy per block).
 
     events: rendered, positioned events (case_id, idx, act, plain, rich)
     traces: case_id, trace_pos, n [, split]
     n_traces: exact trace count when known; at most BROADCAST_TRACES rows of the narrow
     trace table are broadcast to the block rows, above that it is a shuffle join (AQE
     splits a skewed, i.e. hot, case on the block side)
-    Output: case_id, trace_pos, [split,] anchor, prefix, prediction, dedup_key, prefix_len
     """
-    B = cfg.block_size
-    mm = max(cfg.m, 1)
-    B = max(B, mm + 1)
+    B, mm = cfg.block_events, max(cfg.m, 1)
     blocks = block_rows(events, B, mm)
     trace_cols = [c for c in ("trace_pos", "n", "split") if c in traces.columns]
     tr = traces.filter(F.col("n") > 2).select("case_id", *trace_cols)
@@ -133,16 +132,41 @@ def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
     if max_events is None:
         max_events = tr.agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(max_events / B))
-    if n_blocks > 1:
-        rounds = math.ceil(math.log2(n_blocks))
-        cum = earlier_block_text(blocks, B, rounds, cfg.dedup_sep)
-        rows = rows.join(cum, ["case_id", "blk"], "left")
-    else:
-        rows = rows.withColumn("cum_plain", F.lit(None).cast("string")) \
+    if n_blocks == 1:
+        return rows.withColumn("cum_plain", F.lit(None).cast("string")) \
             .withColumn("cum_key", F.lit(None).cast("string"))
+    # only traces of several blocks take part in the scan
+    several = blocks.join(tr.filter(F.col("n") > B).select("case_id"), "case_id", "left_semi")
+    cum = earlier_block_text(several, B, math.ceil(math.log2(n_blocks)), cfg.dedup_sep)
+    return rows.join(cum, ["case_id", "blk"], "left")
+
+
+def with_anchors(blocks: DataFrame, cfg: PrefixConfig) -> DataFrame:
+    """One row per anchor of a block (column ``anchor``)."""
+    return blocks.withColumn("anchor", F.explode(
+        anchors_column(F.col("blk"), F.col("n"), cfg, cfg.block_events)))
+
+
+def anchor_block(anchor: Column, cfg: PrefixConfig) -> Column:
+    """The block that holds an anchor's value window from its first event on."""
+    return F.floor(F.greatest(F.lit(0), anchor - max(cfg.m, 1) + 1) / F.lit(cfg.block_events)).cast("long")
+
+
+def _local(cfg: PrefixConfig) -> Column:
+    return (F.col("anchor") - F.col("blk") * cfg.block_events).cast("int")
+
 
-    rows = rows.withColumn("anchor", F.explode(anchors_column(F.col("blk"), F.col("n"), cfg, B)))
-    local = (F.col("anchor") - F.col("blk") * B).cast("int")
+def dedup_text(cfg: PrefixConfig) -> Column:
+    """I4: the activities of events 0..anchor, joined with nothing between them."""
+    key_local = F.array_join(F.slice(F.col("arr.act"), 1, _local(cfg) + 1), cfg.dedup_sep)
+    return F.concat(F.coalesce("cum_key", F.lit("")), key_local) if cfg.dedup_sep == "" \
+        else F.concat_ws(cfg.dedup_sep, "cum_key", key_local)
+
+
+def render_prefixes(rows: DataFrame, cfg: PrefixConfig, extra: list[str] = ()) -> DataFrame:
+    """Text, label and length of anchor rows (F3, F4, I2): case_id, trace_pos, ``extra``,
+    anchor, prefix, prediction, dedup_key, prefix_len."""
+    local = _local(cfg)
     # events 0..local of the block: plain text before the value window, rich text in it
     # (the last m events); slices of field arrays, no per-element lambdas
     if cfg.m == 0:
@@ -152,16 +176,68 @@ def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
         plain_part = F.when(s0 > 0, F.array_join(F.slice(F.col("arr.plain"), 1, s0), ","))
         rich_part = F.array_join(F.slice(F.col("arr.rich"), s0 + 1, local + 1 - s0), ",")
         text = F.concat_ws(",", plain_part, rich_part)
-    key_local = F.array_join(F.slice(F.col("arr.act"), 1, local + 1), cfg.dedup_sep)
-    dedup_key = F.concat(F.coalesce("cum_key", F.lit("")), key_local) if cfg.dedup_sep == "" \
-        else F.concat_ws(cfg.dedup_sep, "cum_key", key_local)
-    out = [F.col("case_id"), F.col("trace_pos")] + ([F.col("split")] if "split" in trace_cols else []) + [
+    return rows.select(
+        "case_id", "trace_pos", *extra,
         F.col("anchor").cast("long").alias("anchor"),
         F.concat_ws(",", "cum_plain", text).alias("prefix"),
         F.element_at(F.col("arr.act"), local + 2).alias("prediction"),
-        dedup_key.alias("dedup_key"),
-        (F.col("anchor") + 1).cast("long").alias("prefix_len")]
-    return rows.select(*out)
+        dedup_text(cfg).alias("dedup_key"),
+        (F.col("anchor") + 1).cast("long").alias("prefix_len"))
+
+
+def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
+                      max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
+    """Every anchor row of every trace with more than two events, rendered: case_id,
+    trace_pos, [split,] anchor, prefix, prediction, dedup_key, prefix_len (arguments as in
+    :func:`trace_blocks`)."""
+    blocks = trace_blocks(events, traces, cfg, max_events, n_traces)
+    return render_prefixes(with_anchors(blocks, cfg), cfg, ["split"] if "split" in blocks.columns else [])
+
+
+#: an anchor's place in the log as one number: trace position * PLACE + anchor (a long has
+#: at most 19 digits). A decimal is a fixed-width state of a hash aggregation.
+PLACE = Decimal(10) ** 19
+
+
+def first_places(blocks: DataFrame, cfg: PrefixConfig, cross_dedup: bool = False,
+                 splits: tuple[str, ...] = ("retrieval", "test"), seed: int | None = None) -> DataFrame:
+    """E4 and D3 before any text is rendered: the place (trace_pos, anchor) of the first row
+    of each dedup key, per split (column ``split``) when the blocks have one; with
+    ``cross_dedup`` a key of the first split gives no row of the second.
+
+    The dedup text is hashed (SHA-256) where it is made; one hash aggregation over the
+    fixed-width (digest, place) rows, combined before the shuffle. With ``seed`` the rows
+    carry ``_h``, the key's seeded order (G2)."""
+    text = dedup_text(cfg)
+    by_split = "split" in blocks.columns
+    place = F.col("trace_pos").cast("decimal(19,0)") * F.lit(PLACE) + F.col("anchor").cast("decimal(19,0)")
+    keys = {"_k": F.unhex(F.sha2(text, 256))}
+    if seed is not None:
+        keys["_h"] = seeded_order_key(text, seed)
+    rows = with_anchors(blocks, cfg).select(
+        *[v.alias(k) for k, v in keys.items()], place.alias("_w"), *(["split"] if by_split else []))
+    if by_split:
+        first, second = splits
+        agg = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("split") == s, F.col("_w"))).alias(s) for s in splits])
+        kept = F.col(second).isNotNull() & (F.col(first).isNull() if cross_dedup else F.lit(True))
+        pick = F.array(F.struct(F.lit(first).alias("split"), F.col(first).alias("_w")),
+                       F.struct(F.lit(second).alias("split"), F.when(kept, F.col(second)).alias("_w")))
+        won = agg.select(*keys, F.inline(pick)).filter("_w is not null")
+    else:
+        won = rows.groupBy(*keys).agg(F.min("_w").alias("_w"))
+    anchor = F.pmod(F.col("_w"), F.lit(PLACE))
+    return won.withColumn("anchor", anchor.cast("long")) \
+        .withColumn("trace_pos", ((F.col("_w") - anchor) / F.lit(PLACE)).cast("long")).drop("_w")
+
+
+def render_places(blocks: DataFrame, places: DataFrame, cfg: PrefixConfig, extra: list[str]) -> DataFrame:
+    """Render only the given places (trace_pos, anchor, ``extra``): they meet their block
+    as one bounded list per (trace, block)."""
+    per_block = places.withColumn("blk", anchor_block(F.col("anchor"), cfg)) \
+        .groupBy("trace_pos", "blk").agg(F.collect_list(F.struct("anchor", *extra)).alias("_p"))
+    rows = blocks.drop("split").join(per_block, ["trace_pos", "blk"])
+    rows = rows.withColumn("_p", F.explode("_p")).select("*", "_p.*").drop("_p")
+    return render_prefixes(rows, cfg, extra)
 
 
 def dedup_first_wins(prefixes: DataFrame, scope: list[str] = ("split",)) -> DataFrame:
@@ -177,25 +253,6 @@ def dedup_first_wins(prefixes: DataFrame, scope: list[str] = ("split",)) -> Data
             .select(*prefixes.columns))
 
 
-def dedup_splits(prefixes: DataFrame, cross_dedup: bool = False,
-                 splits: tuple[str, str] = ("retrieval", "test")) -> DataFrame:
-    """E4 for both splits and D3 in one aggregation grouped by dedup key: the first row of
-    each split (earliest trace, then anchor) is kept; with ``cross_dedup`` a test row is
-    kept only when the key has no retrieval row. One shuffle, map-side combined, and the
-    assembled prefixes are read once (no per-split branches of the plan)."""
-    first, second = splits
-    payload = [c for c in prefixes.columns if c not in ("split", "dedup_key", "trace_pos", "anchor")]
-    win = lambda name: F.min(F.when(F.col("split") == name, F.struct("trace_pos", "anchor", *payload))).alias(name)
-    agg = prefixes.groupBy("dedup_key").agg(win(first), win(second))
-    keep_second = F.col(second).isNotNull()
-    if cross_dedup:
-        keep_second = keep_second & F.col(first).isNull()
-    rows = F.array(F.when(F.col(first).isNotNull(), F.struct(F.lit(first).alias("split"), F.col(first).alias("w"))),
-                   F.when(keep_second, F.struct(F.lit(second).alias("split"), F.col(second).alias("w"))))
-    out = agg.select("dedup_key", F.explode(rows).alias("r")).filter(F.col("r").isNotNull())
-    return out.select(F.col("r.split").alias("split"), "dedup_key", "r.w.*").select(*prefixes.columns)
-
-
 def cross_split_anti(test: DataFrame, retrieval: DataFrame) -> DataFrame:
     """D3: drop test prefixes whose dedup key already occurs in retrieval."""
     keys = retrieval.select("dedup_key").distinct()

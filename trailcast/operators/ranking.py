@@ -6,103 +6,64 @@ the same numbers without either:
 
 * small inputs (row count checked against ``small_rows``) use the plain window - the whole
   input is proven small, so one task can hold any group of it;
-* larger inputs are cut into ~equal range buckets over the full key (group + order
-  columns), so a hot group spans many buckets. Bucket bounds come from a bounded key
-  sample and are compiled into a literal binary-search expression, so the bucket of a row
-  is a pure function of the row (recomputation after executor loss gives the same
-  answer). Numbers are ``offset(bucket, group) + row_number within (bucket, group)``
-  where offsets are running sums over the small (bucket, group) count table.
+* larger inputs are range-partitioned and sorted by the full key (group + order columns)
+  and written once with their place, so a hot group spans many buckets. Spark picks the
+  range bounds, no key reaches this library's driver code or the plan. Within a bucket
+  only its first group can have begun in an earlier one, so the offsets are at most one
+  row per bucket.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SMALL_ROWS = 2_000_000         # plain window below this many rows
 ROWS_PER_BUCKET = 1_000_000    # target rows per range bucket above it
-MAX_BUCKETS = 10_000           # bounds the key sample collected on the driver
-SAMPLES_PER_BUCKET = 20
-
-
-def _sortable(c: Column, dtype: T.DataType) -> Column:
-    """Order-preserving primitive form of a key column (literal-friendly)."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c)
-    if isinstance(dtype, T.BooleanType):
-        return c.cast("int")
-    return c
-
-
-def _le(keys: list[Column], bound: tuple) -> Column:
-    """Lexicographic ``keys <= bound``."""
-    expr = keys[-1] <= F.lit(bound[-1])
-    for k, v in zip(reversed(keys[:-1]), reversed(bound[:-1])):
-        expr = (k < F.lit(v)) | ((k == F.lit(v)) & expr)
-    return expr
-
-
-def bucket_expr(keys: list[Column], bounds: list[tuple]) -> Column:
-    """Number of bounds strictly below the key, as a balanced CASE tree of depth log2."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_le(keys, bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
+MAX_BUCKETS = 10_000           # tasks of the sort; larger buckets spill, nothing is held in memory
+PLACE_BITS = 33                # monotonically_increasing_id(): partition, then place in it
 
 
 def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                       name: str = "rn", n_rows: int | None = None,
                       small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
-                      seed: int = 17, materialize_input: bool = False) -> DataFrame:
+                      materialize_input: bool = False) -> DataFrame:
     """Append ``name`` = 1-based row number within ``partition_cols`` ordered by
-    ``order_cols`` ascending. ``order_cols`` must be non-null and unique within a group.
+    ``order_cols`` ascending. ``order_cols`` must be unique within a group.
 
-    On the bucketed path the input is read twice (key sample, then numbering). Pass
+    On the range path the input is read twice (Spark's bounds sample, then the sort). Pass
     ``materialize_input=True`` when it is an expensive derived table: it is then written
-    once to the checkpoint folder instead of being computed twice. A plain scan is
-    cheaper to re-read (the sample reads only the key columns)."""
-    partition_cols = list(partition_cols)
-    order_cols = list(order_cols)
+    once to the checkpoint folder instead of being computed twice."""
+    from trailcast.session import materialize
+    partition_cols, order_cols = list(partition_cols), list(order_cols)
     if n_rows is None:
         n_rows = df.count()
     if n_rows <= small_rows:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols) if partition_cols \
-            else Window.orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
+        w = Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy()
+        return df.withColumn(name, F.row_number().over(w.orderBy(*order_cols)).cast("long"))
 
     if materialize_input:
-        from trailcast.session import materialize
         df = materialize(df)
+    keys = partition_cols + order_cols
     n_buckets = min(MAX_BUCKETS, max(2, math.ceil(n_rows / rows_per_bucket)))
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-    key_names = partition_cols + order_cols
-    skeys = [_sortable(F.col(c), dtypes[c]).alias(f"_k{i}") for i, c in enumerate(key_names)]
-    fraction = min(1.0, n_buckets * SAMPLES_PER_BUCKET / n_rows)
-    sample = [tuple(r) for r in
-              df.select(*skeys).sample(False, fraction, seed).collect()]
-    sample.sort()
-    bounds = sorted({sample[(j * len(sample)) // n_buckets] for j in range(1, n_buckets)}) \
-        if sample else []
-    key_cols = [_sortable(F.col(c), dtypes[c]) for c in key_names]
-    bdf = df.withColumn("_bkt", bucket_expr(key_cols, bounds) if bounds else F.lit(0))
-
-    counts = bdf.groupBy("_bkt", *partition_cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    run = (Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy()) \
-        .orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(run), F.lit(0))).drop("_cnt")
-    if not partition_cols:
-        offsets = F.broadcast(offsets)  # one row per bucket: bounded by MAX_BUCKETS
-    local = Window.partitionBy("_bkt", *partition_cols).orderBy(*order_cols)
-    return (bdf.withColumn("_local", F.row_number().over(local))
-            .join(offsets, ["_bkt", *partition_cols])
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_bkt", "_local", "_off"))
+    placed = materialize(df.repartitionByRange(n_buckets, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_at", F.monotonically_increasing_id())) \
+        .withColumn("_bkt", F.shiftright("_at", PLACE_BITS))
+
+    counts = placed.groupBy("_bkt", *partition_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    run = Window.partitionBy(*partition_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.sum("_cnt").over(run)).filter("_off > 0").select(
+        F.col("_bkt").alias("_b"), "_off", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)])
+    if partition_cols:
+        local = F.row_number().over(Window.partitionBy("_bkt", *partition_cols).orderBy("_at"))
+    else:
+        local = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    on = F.col("_bkt") == F.col("_b")
+    for i, c in enumerate(partition_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    # at most one row per bucket: bounded by MAX_BUCKETS
+    return (placed.withColumn("_local", local).join(F.broadcast(offsets), on, "left")
+            .withColumn(name, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("long"))
+            .drop("_at", "_bkt", "_b", "_off", "_local", *[f"_g{i}" for i in range(len(partition_cols))]))

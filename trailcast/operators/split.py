@@ -19,7 +19,8 @@ def test_size(n: int, share: float) -> int:
 
 def temporal_split(traces: DataFrame, test_share: float, zero_test_means_all: bool = False,
                    n_traces: int | None = None, **rank_opts) -> DataFrame:
-    """G1: order traces by (end time, first position); the last int(N*p) are test.
+    """G1: order traces by (end time, first position in the whole log); the last int(N*p)
+    are test.
 
     Adds ``split`` ('retrieval' | 'test') and ``split_rank`` (1-based order)."""
     if n_traces is None:
@@ -28,7 +29,8 @@ def temporal_split(traces: DataFrame, test_share: float, zero_test_means_all: bo
     if t == 0 and zero_test_means_all:
         t = n_traces  # reference slice quirk: [-0:] takes every trace
     keyed = traces.withColumn("_ek", end_key(F.col("end_ts")))
-    ranked = row_number_within(keyed, ["_ek", "trace_pos"], name="split_rank",
+    place = "first_pos" if "first_pos" in traces.columns else "trace_pos"
+    ranked = row_number_within(keyed, ["_ek", place], name="split_rank",
                                n_rows=n_traces, **rank_opts).drop("_ek")
     return ranked.withColumn(
         "split", F.when(F.col("split_rank") > F.lit(n_traces - t), F.lit("test"))
@@ -42,11 +44,12 @@ def seeded_order_key(key: Column, seed: int) -> Column:
 
 def row_split(rows: DataFrame, test_share: float, seed: int = 42, key: str = "dedup_key",
               n_rows: int | None = None, **rank_opts) -> DataFrame:
-    """G2 + H3: exactly int(n*p) rows become test (seeded md5 order), the rest retrieval."""
+    """G2 + H3: exactly int(n*p) rows become test (seeded md5 order, ``_h`` where the rows
+    have it already), the rest retrieval."""
     if n_rows is None:
         n_rows = rows.count()
     t = test_size(n_rows, test_share)
-    keyed = rows.withColumn("_h", seeded_order_key(F.col(key), seed))
+    keyed = rows if "_h" in rows.columns else rows.withColumn("_h", seeded_order_key(F.col(key), seed))
     ranked = row_number_within(keyed, ["_h", key], name="_srank", n_rows=n_rows,
                                materialize_input=True, **rank_opts)
     return ranked.withColumn("split", F.when(F.col("_srank") <= t, F.lit("test"))

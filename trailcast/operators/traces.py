@@ -24,8 +24,9 @@ def ts_key(ts: Column, missing_last: bool = True) -> Column:
 
 
 def trace_table(log: DataFrame, lifecycle_filter: bool = False) -> DataFrame:
-    """One row per trace (E2, E3): first event position, end time over *all* events
-    (missing -> minimum), and the number of events the cleaned log keeps.
+    """One row per trace (E2, E3): end time and first position (``first_pos``, ties of the
+    temporal split) over *all* events; number and first position (``trace_pos``, order of
+    the prefix rows and of the dedup) of the events the cleaned log keeps.
 
     A single hash aggregation with map-side combine: a hot trace costs one partial row
     per input partition, never a whole task."""
@@ -33,7 +34,8 @@ def trace_table(log: DataFrame, lifecycle_filter: bool = False) -> DataFrame:
         else F.lit(True)
     return (log.filter(F.col("case_id").isNotNull())
             .groupBy("case_id")
-            .agg(F.min("event_pos").alias("trace_pos"),
+            .agg(F.coalesce(F.min(F.when(keep, F.col("event_pos"))), F.min("event_pos")).alias("trace_pos"),
+                 F.min("event_pos").alias("first_pos"),
                  F.max("ts").alias("end_ts"),
                  F.count(F.lit(1)).alias("n_all"),
                  F.count_if(keep).alias("n")))

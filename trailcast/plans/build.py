@@ -1,9 +1,11 @@
 """L1: event log -> deduplicated (prefix -> next activity) table with a split column.
 
 Shuffles: one hash aggregation by trace (trace table, map-side combined), one ranking
-of the narrow trace table (split), one grouping by (trace, block), one aggregation by
-dedup key; the per-trace join runs on block rows, not on events. Nothing is collected
-except three scalars (trace count, event count, longest trace)."""
+of the narrow trace table (split), one grouping by (trace, block), one aggregation of
+(digest, place) rows by dedup digest, one ranking of the narrow winners (row_id), one join
+of the winners with their blocks. Prefix text, which grows with the square of a trace, is
+rendered after all of them and never shuffled. Nothing is collected except four scalars
+(trace count, event count, longest trace, anchors)."""
 
 from __future__ import annotations
 
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from trailcast.config import PrefixConfig
 from trailcast.functions.naming import variant_name_py
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
-from trailcast.operators.prefixes import (assemble_prefixes, dedup_first_wins, dedup_splits,
-                                          render_events)
+from trailcast.operators.prefixes import (assemble_prefixes, first_places, render_events,
+                                          render_places, trace_blocks)
 from trailcast.operators.ranking import row_number_within
 from trailcast.operators.split import row_split, temporal_split
 from trailcast.operators.traces import event_positions, trace_table
@@ -75,21 +77,22 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
     traces = traces_of(log, cfg)
     stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
-    if cfg.split_mode == "trace":
-        split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
-                               n_traces=stats.traces, **rank_opts)
-        pre = assemble_prefixes(events, split, cfg, max_events=stats.longest, n_traces=stats.traces)
-        # in-split dedup of both splits and the cross-split anti join in one aggregation
-        ded = dedup_splits(pre, cfg.cross_dedup)
+    by_trace = cfg.split_mode == "trace"
+    split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
+                           n_traces=stats.traces, **rank_opts) if by_trace else traces
+    # read by the dedup (activities only) and by the rendering: written once
+    blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces))
+    if by_trace:
+        won = first_places(blocks, cfg, cfg.cross_dedup)
     else:
-        pre = assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
         # the test size is int(n * p) of the exact deduplicated row count: write the
-        # deduplicated table once, then count and rank it without rebuilding it
-        ded = materialize(dedup_first_wins(pre, []))
-        ded = row_split(ded, cfg.test_share, cfg.row_split_seed, n_rows=ded.count(), **rank_opts)
-    out = row_number_within(ded, ["trace_pos", "anchor"], ["split"], name="row_id", materialize_input=True,
-                            n_rows=stats.anchors_upper, **rank_opts)
-    out = out.withColumn("row_id", F.col("row_id") - 1).select(*PREFIX_COLUMNS)
+        # narrow winners once, then count and rank them
+        won = materialize(first_places(blocks, cfg, seed=cfg.row_split_seed))
+        won = row_split(won, cfg.test_share, cfg.row_split_seed, key="_k", n_rows=won.count(), **rank_opts)
+    won = row_number_within(won.select("split", "trace_pos", "anchor"), ["trace_pos", "anchor"], ["split"],
+                            name="row_id", materialize_input=True, n_rows=stats.anchors_upper, **rank_opts)
+    won = won.withColumn("row_id", F.col("row_id") - 1)
+    out = render_places(blocks, won, cfg, ["split", "row_id"]).select(*PREFIX_COLUMNS)
     if variant is not None:
         out = out.withColumn("variant", F.lit(variant))
     return out

@@ -150,12 +150,14 @@ def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
     """Raw XES traces (one row per ``<trace>``) with ``trace_pos``: file order of the trace
     (file path, block, position inside the block), numbered by the skew-safe ranking."""
     from trailcast.operators.ranking import row_number_within
+    from trailcast.session import materialize
     raw = (spark.read.format("xml").option("rowTag", "trace").option("attributePrefix", "_")
            .schema(XES_TRACE_SCHEMA).load(path)
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_block", F.col("_metadata.file_block_start"))
            .withColumn("_mono", F.monotonically_increasing_id()))
-    return row_number_within(raw, ["_file", "_block", "_mono"], name="trace_pos", materialize_input=True) \
+    # parsed once; a trace element may be long, so few of them go through one task
+    return row_number_within(materialize(raw), ["_file", "_block", "_mono"], name="trace_pos", small_rows=10_000) \
         .drop("_file", "_block", "_mono")
 
 
@@ -196,7 +198,8 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
         layout[ab] = k
     texts = [(ab, F.coalesce(_xes_value_text(layout[ab], a[layout[ab]], ts_style), F.lit("nan")))
              for ab in order]
-    pos = F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")
+    pos = F.when(F.col("event_in_trace") < TRACE_SHIFT, F.col("trace_pos") * F.lit(TRACE_SHIFT) + F.col("event_in_trace")) \
+        .otherwise(F.raise_error(F.lit(f"a trace element holds more than {TRACE_SHIFT} events")).cast("long"))
     base = xes_events.select(
         a[trace_identifier].alias("case_id"), pos.cast("long").alias("event_pos"),
         (composite_activity(a["concept:name"], *[a[k] for k in activity_keys]) if activity_keys
