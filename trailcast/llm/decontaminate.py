@@ -15,7 +15,8 @@ the tasks is bounded however large it is, and the blocks' hits are united per do
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered; a term is the
 64-bit hash of a word. Defined cases: null and empty texts have no words and no hits; empty
-items match nothing; equal items are separate items; equal rows get equal results; an empty
+items match nothing; an item without an id marks words, but has no id to count or list;
+equal items are separate items; equal rows get equal results; an empty
 benchmark gives rows without hits; only the named columns are read."""
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Windows:
             for at in range(max(1, len(own) - window + 1) if len(own) else 0):
                 by_words.setdefault(own[at:at + window].tobytes(), []).append(item)
         self.words = [np.frombuffer(w, np.int32) for w in by_words]
-        self.items = [sorted(set(x)) for x in by_words.values()]
+        self.items = [sorted(set(x) - {None}) for x in by_words.values()]
 
     def by_rarity(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms and offsets of each window from the rarest on (padded with -1), lengths."""
@@ -326,4 +327,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("text"))
     keyed = docs.select("doc_id", "text", key.alias("text_hash__"))
     bad = contamination(keyed, benchmark, keep=("doc_id", "text_hash__")).where("contaminated").select(F.col("doc_id").alias("bad_id__"), F.col("text_hash__").alias("bad_hash__")).distinct()
-    return docs.join(bad, F.col("bad_id__").eqNullSafe(docs["doc_id"]) & (F.col("bad_hash__") == F.xxhash64(docs["text"])), "left_anti")
+    return docs.join(bad, bad["bad_id__"].eqNullSafe(docs["doc_id"]) & (bad["bad_hash__"] == F.xxhash64(docs["text"])), "left_anti")
