@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailcast.catalog.prefix_q import events_log, orders_log, table
+from trailcast.catalog import sqlx
+from trailcast.catalog.prefix_q import _dedup_sql, _prefix_sql, _split_sql, events_log, orders_log, table
 from trailcast.config import PrefixConfig
 from trailcast.functions.naming import collection_name, eval_config, eval_config_key, parse_variant, variant_name
 from trailcast.functions.text import bytes_to_mb, format_duration
@@ -115,11 +116,11 @@ def q_table_equality(spark, d):
     li = table(spark, d, "lineitem")
     a = o.select("o_orderkey", "o_custkey")
     b = li.join(o, li.l_orderkey == o.o_orderkey).select("o_orderkey", "o_custkey").distinct()
-    e = table(spark, d, "events")
-    e1 = e.select("event_type", "user_id")
-    e2 = e.repartition(7, "event_id").select("event_type", "user_id")
+    c = table(spark, d, "customer")
+    c1 = c.select("c_custkey", "c_nationkey")
+    c2 = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
     return table_equality(a, b).withColumn("pair", F.lit("orders_vs_lineitem_orders")).unionByName(
-        table_equality(e1, e2).withColumn("pair", F.lit("events_vs_reshuffled")))
+        table_equality(c1, c2).withColumn("pair", F.lit("nation_vs_region_of_customers")))
 
 
 def q_format_duration(spark, d):
@@ -230,13 +231,18 @@ ORACLE = {
         SELECT (dr - 1) * 2 + mi AS grid_pos, dataset, model_id
         FROM r, (VALUES (0, 'hashing'), (1, 'hashing_bigram')) m(mi, model_id)""",
     "table_equality": """WITH a AS (SELECT o_orderkey, o_custkey FROM orders),
-        b AS (SELECT DISTINCT o.o_orderkey, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+        b AS (SELECT DISTINCT o.o_orderkey, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+        r AS (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
         SELECT 'orders_vs_lineitem_orders' AS pair,
           (SELECT count(*) FROM (SELECT o_orderkey FROM a EXCEPT ALL SELECT o_orderkey FROM b)) = 0 AND
           (SELECT count(*) FROM (SELECT o_orderkey FROM b EXCEPT ALL SELECT o_orderkey FROM a)) = 0 AS same_first_column,
           (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0 AND
           (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS same_rows
-        UNION ALL SELECT 'events_vs_reshuffled', true, true""",
+        UNION ALL SELECT 'nation_vs_region_of_customers',
+          (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT c_custkey FROM r)) = 0 AND
+          (SELECT count(*) FROM (SELECT c_custkey FROM r EXCEPT ALL SELECT c_custkey FROM customer)) = 0,
+          (SELECT count(*) FROM (SELECT c_custkey, c_nationkey FROM customer EXCEPT ALL SELECT * FROM r)) = 0 AND
+          (SELECT count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT c_custkey, c_nationkey FROM customer)) = 0""",
     "format_duration": """SELECT user_id, seconds,
           CASE WHEN t // 3600 > 0 THEN (t // 3600) || 'h ' ELSE '' END || ((t // 60) % 60) || 'm ' || (t % 60) || 's' AS duration
         FROM (SELECT *, CAST(round_even(seconds, 0) AS BIGINT) AS t FROM (
@@ -244,3 +250,7 @@ ORACLE = {
     "bytes_to_mb": """SELECT source, bytes, round_even(bytes / 1048576.0, 3) AS size_mb
         FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source)""",
 }
+ORACLE["execution_report"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, count(*) AS output_rows, CAST(NULL AS VARCHAR) AS error FROM ("
+    f"{_dedup_sql(_prefix_sql(pos, 1, 3, 'e.act'), _split_sql(pos), cross=False)})"
+    for name, pos in (("events", sqlx.EVENTS_POS), ("orders", sqlx.ORDERS_POS)))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The name format and the key fields have to be these.
 VARIANT_PATTERN = "^(?:last_(\\d+)_)?b(\\d+)_g(\\d+)_(.+)$"
 
 # Fields of the evaluation configuration, in key order; split_type is kept in the

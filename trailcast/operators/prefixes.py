@@ -185,6 +185,15 @@ def render_prefixes(rows: DataFrame, cfg: PrefixConfig, extra: list[str] = ()) -
         (F.col("anchor") + 1).cast("long").alias("prefix_len"))
 
 
+def anchor_steps(rows: DataFrame, cfg: PrefixConfig) -> DataFrame:
+    """F3 without text: the activities at and after each anchor."""
+    return rows.select(
+        "case_id", F.col("anchor").cast("long").alias("anchor"),
+        (F.col("anchor") + 1).cast("long").alias("prefix_len"),
+        F.element_at(F.col("arr.act"), _local(cfg) + 1).alias("last_activity"),
+        F.element_at(F.col("arr.act"), _local(cfg) + 2).alias("prediction"))
+
+
 def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
                       max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
     """Every anchor row of every trace with more than two events, rendered: case_id,

@@ -9,7 +9,7 @@ rendered after all of them and never shuffled. Nothing is collected except four
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from trailcast.config import PrefixConfig
 from trailcast.functions.naming import variant_name_py
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
-from trailcast.operators.prefixes import (assemble_prefixes, first_places, render_events,
-                                          render_places, trace_blocks)
+from trailcast.operators.prefixes import (anchor_steps, assemble_prefixes, first_places,
+                                          render_events, render_places, trace_blocks, with_anchors)
 from trailcast.operators.ranking import row_number_within
 from trailcast.operators.split import row_split, temporal_split
 from trailcast.operators.traces import event_positions, trace_table
@@ -69,6 +69,17 @@ def all_prefixes(log: DataFrame, cfg: PrefixConfig, traces: DataFrame | None = N
     return assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
 
 
+def transitions(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
+    """Every anchor's last and next activity, without its prefix text: case_id, anchor,
+    prefix_len, last_activity, prediction."""
+    cfg.validate()
+    traces = traces_of(log, cfg)
+    stats = log_stats(traces, cfg)
+    cfg = replace(cfg, m=0)
+    blocks = trace_blocks(positioned_events(log, cfg, stats), traces, cfg, max_events=0, n_traces=stats.traces)
+    return anchor_steps(with_anchors(blocks, cfg), cfg)
+
+
 def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: str | None = None,
                   **rank_opts) -> DataFrame:
     """Prefix table: split, row_id (0-based position in the split's file order), case_id,

@@ -56,6 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_ending: set[str] = set()
+
+
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the folder's file system delete it when the driver's JVM ends."""
+    if folder not in _ending:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ending.add(folder)
+
+
 def materialize(df, partition_by: list[str] | None = None):
     """Cut lineage of an intermediate that several actions read: write it as a Parquet
     table under the cluster's shared checkpoint folder and read it back (survives
@@ -63,8 +76,10 @@ def materialize(df, partition_by: list[str] | None = None):
     import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    # one folder per application: a finished job's intermediates are dropped together
-    path = f"{root}/trailcast-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    # one folder per application, deleted when the application ends
+    folder = f"{root}/trailcast-tables/{spark.sparkContext.applicationId}"
+    _delete_at_end(spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

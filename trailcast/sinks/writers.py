@@ -76,11 +76,3 @@ def replace_report(report: DataFrame, path: str, key: str = "variant_key") -> st
     _dynamic(report)
     report.write.mode("overwrite").partitionBy(key).parquet(path)
     return path
-
-
-def collection_path(root: str, model_id: str, variant: str) -> str:
-    return f"{root.rstrip('/')}/model_id={model_id}/variant={variant}"
-
-
-def with_variant(df: DataFrame, variant: str) -> DataFrame:
-    return df.withColumn("variant", F.lit(variant))
