@@ -108,3 +108,41 @@ def test_pipeline_stages(spark):
     fps = [int(r.fingerprint, 16) for r in simhash.near_duplicates(left).collect()]
     assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fps) for b in fps[:i])
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_licenses_of_whole_notices(spark):
+    """Standard notices, as files carry them, give their license and no other."""
+    gnu = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {0}General Public License as published by
+# the Free Software Foundation, either version {1} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU {0}General Public License for more details."""
+    bsd = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    cases = [(gnu.format("", "3"), {"GPL-3.0"}), (gnu.format("", "2"), {"GPL-2.0"}), (gnu.format("Lesser ", "2.1").replace("program", "library"), {"LGPL-2.1"}),
+             (gnu.format("Lesser ", "3").replace("program", "library"), {"LGPL-3.0"}), (gnu.format("Affero ", "3"), {"AGPL-3.0"}), (gnu.format("Library ", "2").replace("program", "library"), {"LGPL-2.0"}),
+             (bsd, {"BSD"}), (bsd + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"BSD", "BSD-3-Clause OR BSD-4-Clause"}),
+             (isc + ", provided that the above copyright notice and this permission notice appear in all copies.", {"ISC"}), (isc + '. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE', {"0BSD"}),
+             ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}), ("SPDX-License-Identifier: LGPL-2.1-or-later", {"LGPL-2.1"}),
+             ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", {"CC-BY-SA-3.0"}), ("Available under CC BY-NC-ND 4.0", {"CC-BY-NC-ND-4.0"}),
+             ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", {"EPL-2.0"}),
+             ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", {"MIT"}),
+             ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", {"Zlib"})]
+    docs = spark.createDataFrame([(i, "x y z\n" + t + "\nq r s") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    shared = lambda x: x == "GNU" or " OR " in x
+    alone = {i: {x for x in got.get(i, ()) if x in want or not shared(x)} for i, (_, want) in enumerate(cases)}
+    assert alone == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_every_license_has_a_piece_of_its_own():
+    from trailcast.llm.license_texts import NOTICES
+    names = {p["license_id"] for p in licenses.pieces_of()}
+    assert set(NOTICES) <= names and len(names) > 40

@@ -1,19 +1,21 @@
 """License scan by MinHash bands over text windows, DataFrame functions only (dealt
 operator 6, native).
 
-A template (a license notice) is cut into pieces of at most 24 words; a piece is a set of
-five-word shingles. Texts are read in overlapping windows, whose width follows from a
-piece's size class so that every occurrence of a piece lies in some window. Windows and
-pieces get MinHash values; bands of one row each bring a window to a piece if they share a
-shingle that is least in both under some hash. The number of bands of a class follows from
-the smallest possible similarity of a match, so that a match is missed with probability
-under ``MISS``. Candidates are verified by exact containment: at least ``CONTAINED`` of the
-piece's shingles are in the window.
-
-Before any hashing, windows must hold a word of some piece without which 80 % of its
-shingles can't be there (its anchor), and texts must hold it as a substring; neither loses
-a match. The template table is a parameter of at most ``MAX_TEMPLATES`` rows, so it is
-broadcast.
+A template (a license notice or a paragraph of a license's text, ``license_texts``) is cut
+into pieces of at most 24 words; a piece is a set of five-word shingles. A piece that texts of
+several licenses hold is named after all of them ("MIT OR Unlicense") or after the family of
+three or more (GNU, BSD, Creative Commons), and what a license has alone after itself. Texts are read in
+overlapping windows, whose width follows from a piece's size class so that every occurrence of
+a piece lies in some window. Windows and pieces get MinHash values; bands of one row each bring
+a window to a piece if they share a shingle that is least in both under some hash. The number
+of bands of a class follows from the smallest possible similarity of a match, so that a match
+is missed with probability under ``MISS``. Candidates are verified by exact containment: at
+least ``CONTAINED`` of the piece's shingles are in the window.
+
+Before any hashing, texts must hold as a substring one of a few words that cover all pieces (a
+piece is covered by a word without which 80 % of its shingles can't be there), and windows must
+hold a shingle of some piece; neither loses a match. The template table is a parameter of at
+most ``MAX_TEMPLATES`` rows, so it is broadcast.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered. Defined cases: null
 and empty texts and texts of under five words match nothing; equal rows give equal rows; of
@@ -23,28 +25,20 @@ rows; only the named columns are read."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailcast.llm.license_texts import all_texts
 from trailcast.llm.scratch import prepare
 from trailcast.llm.textops import word_list
 
-#: Notices that are in common use (license id, text).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-2.0", "either version 2 of the License, or (at your option) any later version"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-SHINGLE, CONTAINED, MISS, MAX_TEMPLATES = 5, 0.8, 1e-6, 2000
+#: Texts and notices that are in common use (license id, text).
+TEMPLATES = all_texts()
+#: Families: a piece that three or more licenses hold, all of one family, gets its name.
+FAMILIES = {"GNU": ("GPL-", "LGPL-", "AGPL-"), "BSD": ("BSD-",), "Creative Commons": ("CC-", "CC0-")}
+SHINGLE, CONTAINED, MISS, MAX_TEMPLATES, LONG_WORD = 5, 0.8, 1e-6, 2000, 7
 #: Size classes: most words of a piece, window width, step.
 CLASSES = ((8, 10, 2), (16, 20, 4), (24, 32, 8))
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,28 +49,64 @@ def shingles(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
 
 
-def anchor(words: list[str]) -> str:
-    """The longest word whose absence breaks more shingles than a match may miss."""
+def anchor_words(words: list[str]) -> list[str]:
+    """The words whose absence breaks more shingles than a match may miss; the long ones if
+    there are any, else the longest."""
     n = len(words) - SHINGLE + 1
     may_miss = n - math.ceil(CONTAINED * n)
-    cover = [min(p, n - 1) - max(0, p - SHINGLE + 1) + 1 for p in range(len(words))]
-    return max((w for w, c in zip(words, cover) if c > may_miss), key=lambda w: (len(w), w))
+    cover: dict[str, set] = {}
+    for p, w in enumerate(words):
+        cover.setdefault(w, set()).update(range(max(0, p - SHINGLE + 1), min(p, n - 1) + 1))
+    able = sorted((w for w, c in cover.items() if len(c) > may_miss), key=lambda w: (-len(w), w))
+    return [w for w in able if len(w) >= LONG_WORD] or able[:1]
+
+
+def anchors_of(pieces: list[dict]) -> list[str]:
+    """Few words, so that every piece has one of its anchor words among them."""
+    left, out = [p["anchors"] for p in pieces], []
+    while left:
+        number = Counter(w for own in left for w in own)
+        out.append(max(number, key=lambda w: (number[w], len(w), w)))
+        left = [own for own in left if out[-1] not in own]
+    return out
+
+
+def name_of(holders: set[str]) -> str:
+    """The license id of a piece that all of ``holders`` contain."""
+    for family, starts in FAMILIES.items():
+        if len(holders) > 2 and all(h.startswith(starts) for h in holders):
+            return family
+    return " OR ".join(sorted(holders))
 
 
 def pieces_of(templates=TEMPLATES) -> list[dict]:
-    """Pieces: license, size class, their distinct shingles and anchor."""
+    """Pieces: license, size class, their distinct shingles and anchor words. A piece that another
+    license's text would match too is named after all of them, once."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    out, most = [], CLASSES[-1][0]
-    for license_id, text in templates:
+    out, most = {}, CLASSES[-1][0]
+    held: dict[str, dict[str, set]] = {}               # shingle -> license -> its texts
+    cuts = []
+    for at_text, (license_id, text) in enumerate(templates):
         words = word_list(text)
+        for s in shingles(words):
+            held.setdefault(s, {}).setdefault(license_id, set()).add(at_text)
         n = max(1, -(-len(words) // most))
         size = -(-len(words) // n)
-        for at in range(0, len(words), size):
-            own = words[at:at + size]
-            if len(own) >= SHINGLE:
-                out.append({"license_id": license_id, "class": next(k for k, c in enumerate(CLASSES) if len(own) <= c[0]), "shingles": shingles(own), "anchor": anchor(own)})
-    return out
+        cuts += [(license_id, words[at:at + size]) for at in range(0, len(words), size)]
+    for license_id, own in cuts:
+        if len(own) < SHINGLE:
+            continue
+        wanted = shingles(own)
+        shared: dict[tuple, int] = {}
+        for s in wanted:
+            for other, texts in held[s].items():
+                for t in texts:
+                    shared[other, t] = shared.get((other, t), 0) + 1
+        holders = {license_id} | {other for (other, _), n in shared.items() if n >= CONTAINED * len(wanted)}
+        key = (name_of(holders), tuple(wanted))
+        out.setdefault(key, {"license_id": key[0], "class": next(k for k, c in enumerate(CLASSES) if len(own) <= c[0]), "shingles": wanted, "anchors": anchor_words(own)})
+    return list(out.values())
 
 
 def bands_needed(pieces: list[dict], k: int) -> int:
@@ -91,11 +121,18 @@ def bands_needed(pieces: list[dict], k: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - least)) if least < 1 else 1
 
 
-def _windows(words: Column, width: int, step: int, anchors: list[str]) -> Column:
-    """Windows (start, words) that hold an anchor."""
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - width) / step)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * step).alias("start"), F.slice(words, k * step + 1, width).alias("words")))
-    return F.filter(every, lambda w: F.arrays_overlap(w["words"], F.array(*map(F.lit, anchors))))
+def _windows(words: Column, known: list[str], classes: list[int]) -> Column:
+    """Windows (class, start, words) that hold a known shingle."""
+    def cut(at, k):
+        _, width, step = CLASSES[k]
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - width) / step)).cast("int")
+        first = lambda p: F.greatest(F.lit(0), F.ceil((p - 1 - (width - SHINGLE)) / step)).cast("int")
+        numbers = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(first(p), F.least(last, F.floor((p - 1) / step).cast("int"))))))
+        return F.transform(numbers, lambda j: F.struct(F.lit(k).alias("class"), (j * step).alias("start"), F.slice(words, j * step + 1, width).alias("words")))
+
+    places = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
+    at = F.filter(places, lambda i: F.array_join(F.slice(words, i, SHINGLE), " ").isin(known))
+    return F.element_at(F.transform(F.array(at), lambda a: F.when(F.size(a) > 0, F.concat(*(cut(a, k) for k in classes)))), 1)
 
 
 def _shingle_hashes(words: Column) -> Column:
@@ -103,9 +140,10 @@ def _shingle_hashes(words: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(hashes: Column, number: int) -> Column:
-    """(band, least hash under the band's hash function) of a set of shingle hashes."""
-    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda b: F.xxhash64(b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(b, h)))))
+def _bands(hashes: Column, size_class: Column, numbers: list[int]) -> Column:
+    """(class, band, least hash under the band's hash function) of a set of shingle hashes."""
+    number = F.get(F.array(*map(F.lit, numbers)), size_class)
+    return F.transform(F.sequence(F.lit(0), number - 1), lambda b: F.xxhash64(size_class, b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(b, h)))))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -114,32 +152,29 @@ def scan(docs: DataFrame, templates=TEMPLATES, text_col: str = "text", id_col: s
     spark = docs.sparkSession
     prepare(spark)
     pieces = pieces_of(templates)
+    classes = sorted({p["class"] for p in pieces})
+    numbers = [bands_needed(pieces, k) if k in classes else 1 for k in range(len(CLASSES))]
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    anchors = sorted({p["anchor"] for p in pieces})
     low = F.lower("text")
     holds = F.lit(False)
-    for a in anchors:
+    for a in anchors_of(pieces):
         holds = holds | F.contains(low, F.lit(a))
     words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORDS), F.lit(0))
-    kept = narrow.where(holds).withColumn("words", words)
-    found = None
-    for k, (_, width, step) in enumerate(CLASSES):
-        own = [p for p in pieces if p["class"] == k]
-        if not own:
-            continue
-        number = bands_needed(pieces, k)
-        rows = [F.struct(F.lit(p["license_id"]).alias("license_id"), F.lit(i).alias("piece"), F.array(*(F.xxhash64(F.lit(s)) for s in p["shingles"])).alias("wanted")) for i, p in enumerate(own)]
-        known = spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-        known = known.withColumn("band", F.explode(_bands(F.col("wanted"), number)))
-        windows = (kept.withColumn("w", F.explode(_windows(F.col("words"), width, step, sorted({p["anchor"] for p in own}))))
-                   .select("row", "id", "w.start", _shingle_hashes(F.col("w.words")).alias("held")).where(F.size("held") > 0)
-                   .withColumn("band", F.explode(_bands(F.col("held"), number))))
-        hits = (windows.join(F.broadcast(known), "band")
-                .withColumn("shared", F.size(F.array_intersect("held", "wanted")))
-                .where(F.col("shared") >= CONTAINED * F.size("wanted"))
-                .select("row", "id", "license_id", "start", (F.col("shared") / F.size("wanted")).alias("containment")))
-        found = hits if found is None else found.union(hits)
-    return (found.groupBy("row", "id", "license_id").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
+    known = sorted({s for p in pieces for s in p["shingles"]})
+    # one-element transform: the words are made once
+    windows = F.element_at(F.transform(F.array(words), lambda w: _windows(w, known, classes)), 1)
+    held = (narrow.where(holds).select("row", "id", F.explode(windows).alias("w"))
+            .select("row", "id", "w.class", "w.start", _shingle_hashes(F.col("w.words")).alias("held"))
+            .withColumn("band", F.explode(_bands(F.col("held"), F.col("class"), numbers))))
+    rows = [F.struct(F.lit(p["license_id"]).alias("license_id"), F.lit(p["class"]).alias("class"), F.lit("\n".join(p["shingles"])).alias("wanted")) for p in pieces]
+    wanted = (spark.range(1).select(F.explode(F.array(*rows)).alias("p"))
+              .select("p.license_id", "p.class", F.transform(F.split("p.wanted", "\n"), lambda s: F.xxhash64(s)).alias("wanted"))
+              .withColumn("band", F.explode(_bands(F.col("wanted"), F.col("class"), numbers))))
+    hits = (held.join(F.broadcast(wanted), ["class", "band"])
+            .withColumn("shared", F.size(F.array_intersect("held", "wanted")))
+            .where(F.col("shared") >= CONTAINED * F.size("wanted"))
+            .select("row", "id", "license_id", "start", (F.col("shared") / F.size("wanted")).alias("containment")))
+    return (hits.groupBy("row", "id", "license_id").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
             .select(F.col("id").alias(id_col), "license_id", "containment", "first_word"))
 
 
