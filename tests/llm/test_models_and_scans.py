@@ -146,3 +146,20 @@ def test_every_license_has_a_piece_of_its_own():
     from trailcast.llm.license_texts import NOTICES
     names = {p["license_id"] for p in licenses.pieces_of()}
     assert set(NOTICES) <= names and len(names) > 40
+
+
+def test_secrets_in_context(spark):
+    """Values after a key word or in a URL, whatever their characters and however short."""
+    forest = secret_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    secret = [("x password={} y", "hunter2"), ("password: {}", "Tr0ub4dor&3!x"), ('token = "{}"', "QWERTYqwertyASDFGHzxcvbnLKJH"), ("postgres://bob:{}@db/x", "s3cr3tpw"),
+              ('{{"password": "{}", "user": 1}}', "correct horse battery staple"), ("DB_PASSWORD_PROD='{}'", "Passw0rd!"), ("redis://:{}@cache:6379", "p@ss:w0rd"), ("pwd = {}.", "zebra#99"),
+              ("Authorization: Bearer {}", "abcDEFghiJKLmnop")]
+    plain = ["password=${DB_PASSWORD}", "token: null,", 'password = get_password(user)', "password: required", "max_tokens: 4096", "token = self.token"]
+    texts = [t.format(v) for t, v in secret] + plain
+    docs = spark.createDataFrame([(i, t, "src/app.conf") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.start, r.length): r.secret for r in secret_scan.scan(docs, forest).collect()}
+    want = {(i, texts[i].index(v), len(v)) for i, (_, v) in enumerate(secret)}
+    assert want <= set(got)
+    assert {k for k, s in got.items() if s} == want
+    redacted = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert [redacted[i] for i in range(len(texts))] == [t.format("[SECRET]") for t, _ in secret] + plain

@@ -1,12 +1,18 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame
 functions only (dealt operator 2, native).
 
-Candidates are maximal runs of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a
-digit. A whole text is cut at its candidates by native functions, so each has its start, the
+Candidates are values in a context that asks for a secret, and runs without one. A value is
+what follows a key word and an assignment (``password=``, ``"token": "``, ``api_key => '``) or
+``Authorization: Bearer``, up to the closing quote, blanks included, or else up to the next
+blank, without closing punctuation, of at least ``MIN_VALUE`` characters whatever they are; and
+the password in a URL's user information, of any length. Elsewhere, a candidate is a maximal
+run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a digit. A whole text is cut at its candidates by native functions, so each has its start, the
 text before and the text after it. Features: length, character classes and transitions
 between them, distinct characters, share of hexadecimal digits, coverage by dictionary
 words, what the path says (tests, examples, documentation; depth), and the neighbouring
-words (a key word and an assignment before it, quotes, words that name harmless numbers).
+words (a key word and an assignment before it, quotes, words that name harmless numbers),
+whether a value is in a URL, refers to another (``${NAME}``, ``get(x)``, ``<password>``) or is a
+plain word such as ``none`` or ``required``.
 
 The forest (Spark ML) is trained on labelled findings: rows (before, candidate, after, path,
 label). The query labels findings of the documents that aren't held out by strict formats
@@ -33,17 +39,34 @@ from trailcast.llm.scratch import Scratch
 
 MIN_LENGTH, PER_CLASS, TREES, DEPTH, THRESHOLD = 12, 2000, 20, 6, 0.5
 RUN = "A-Za-z0-9+/_\\-"
-CANDIDATE = f"(?<![{RUN}])(?=[A-Za-z+/_\\-]*+[0-9])[{RUN}]{{{MIN_LENGTH},}}+"
+PLAIN = f"(?<![{RUN}])(?=[A-Za-z+/_\\-]*+[0-9])[{RUN}]{{{MIN_LENGTH},}}+"
+#: Key words, and the name's end after them, before an assignment.
+KEY = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret|auth|account|encryption|signing)[_\-]?key|auth|credential)s?(?:[_\-]\w{1,16}|\d{1,2})?"
+SIGN = r"[\"']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"
+BEARER = r"(?i:authorization)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?i:bearer|basic|token)\s{1,3}"
+MIN_VALUE = 4
+#: Each begins with a short look back, so that the long one is tried at few places.
+QUOTED = "|".join(f"(?<=[=:>]\\s{{0,3}}{q})(?<={KEY}{SIGN}{q})[^{q}\\r\\n]{{{MIN_VALUE},}}+(?={q})" for q in "\"'")
+BARE = f"(?<=[=:>]\\s{{0,3}}[\"']?)(?<={KEY}{SIGN}[\"']?)(?![\\s\"'=:>])\\S{{{MIN_VALUE - 1},}}[^\\s.,;:?)\\]}}>\"'`]"
+AFTER_BEARER = f"(?<=(?i:bearer|basic|token)\\s{{1,3}})(?<={BEARER})(?!\\s)\\S{{{MIN_VALUE - 1},}}[^\\s.,;:?)\\]}}>\"'`]"
+IN_URL = r"(?<=:)(?<=://[^\s/@:\"'<>]{0,64}:)(?!//)[^\s/\"'<>]+(?=@)"
+#: Two cheap looks back that every context passes come first.
+IN_CONTEXT = f"(?<=[=:>\\s\"'])(?<=[=:>]|[=:>]\\s{{0,3}}[\"']|[=:>]\\s{{1,3}}|[RrCcNn]\\s{{1,3}})(?:{QUOTED}|{AFTER_BEARER}|{IN_URL}|{BARE})"
+CANDIDATE = f"(?:{IN_CONTEXT}|{PLAIN})"
 #: Words that make up identifiers and placeholders rather than secrets.
 DICTIONARY = ("account", "admin", "alpha", "api", "app", "array", "base", "beta", "build", "cache", "change", "class", "client", "code", "config", "content", "count", "data", "date", "debug", "default", "demo", "dev", "document", "dummy", "end", "error", "event", "example", "false", "field", "file", "foo", "function", "group", "hash", "hello", "host", "html", "http", "image", "index", "info", "item", "key", "label", "lib", "line", "link", "list", "local", "log", "main", "message", "model", "module", "name", "node", "number", "object", "order", "output", "page", "param", "pass", "path", "prod", "public", "query", "release", "report", "request", "response", "result", "sample", "server", "service", "session", "size", "source", "start", "state", "string", "system", "table", "temp", "test", "text", "the", "time", "title", "token", "true", "type", "update", "user", "value", "version", "view", "window", "word", "www", "your")
-KEY_WORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?\W{0,6}$"
+KEY_WORD = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth|bearer|credential)s?(?:[_-]\w{1,16}|\d{1,2})?\W{0,6}$"
+PASSWORD_WORD = r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd)s?(?:[_-]\w{1,16}|\d{1,2})?\W{0,6}$"
+URL_USER = r"://[^\s/@:]*:$"
+REFERENCE = r"^(?:\$\{?[A-Za-z_][\w.:\-]*\}?|<.*|\{.*|%[(\w{].*|\$[({].*|[A-Za-z_][\w.]*[(\[].*|[A-Za-z_]+(?:\.[A-Za-z_]+)+|(.)\1*)$"
+WORD = r"(?i)^(?:none|null|nil|undefined|true|false|yes|no|required|optional|string|str|text|int|integer|bool|boolean|bytes|any|self|this|value|password|passwd|secret|token|hidden|redacted|removed|masked|empty|unknown|invalid|missing|expired|incorrect|wrong|enter|forgot|reset|must|should|your|the|and|is|see|use|used|using|with|from|for|new|old|not|default|example|placeholder|changed|field|input|type|name)\b"
 HARMLESS = r"(?i)(?:phone|tel|fax|isbn|issn|doi|uuid|guid|sha\d*|md5|commit|checksum|digest|revision|order|invoice|card|account|id|no|number|version|build)\W{0,6}$"
 TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|demo|doc|readme|lock)"
 #: Strict formats that label findings: key ids with a fixed start, quoted or bare values after a
 #: key word and an assignment.
 FIXED_START = r"^(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[bp]-[0-9A-Za-z\-]{20,})$"
 ASSIGNED = r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?$"
-FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "transition_share", "distinct_share", "hex_share", "longest_digits", "dictionary", "test_path", "path_depth", "key_word", "assigned", "quoted", "harmless", "word_before", "number_near")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "transition_share", "distinct_share", "hex_share", "longest_digits", "dictionary", "test_path", "path_depth", "key_word", "assigned", "quoted", "harmless", "word_before", "number_near", "password_word", "url_user", "reference", "plain_word", "other_signs")
 
 
 def cut(text: Column) -> Column:
@@ -84,7 +107,8 @@ def features(f: Column, path: Column) -> list[Column]:
             F.size(F.array_distinct(F.split(c, ""))) / size, share("0-9a-fA-F"), flag(longest), covered / size,
             flag(path.rlike(TEST_PATH)), F.length(F.regexp_replace(path, "[^/]", "")).cast("double"),
             flag(before.rlike(KEY_WORD)), flag(before.rlike(r"[=:]\s*[\"']?$")), flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
-            flag(before.rlike(HARMLESS)), flag(before.rlike(r"\p{L}{2,}\s$")), flag(before.rlike(r"[0-9]\W{0,3}$") | after.rlike(r"^\W{0,3}[0-9]"))]
+            flag(before.rlike(HARMLESS)), flag(before.rlike(r"\p{L}{2,}\s$")), flag(before.rlike(r"[0-9]\W{0,3}$") | after.rlike(r"^\W{0,3}[0-9]")),
+            flag(before.rlike(PASSWORD_WORD)), flag(before.rlike(URL_USER) & after.startswith("@")), flag(c.rlike(REFERENCE)), flag(c.rlike(WORD)), F.length(F.regexp_replace(c, f"[{RUN}]", "")) / size]
 
 
 def examples() -> list[tuple[str, str, str, str, int]]:
@@ -106,6 +130,19 @@ def examples() -> list[tuple[str, str, str, str, int]]:
                 ("id ", "-".join(digest("u", i)[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32))), " was", "events.log", 0),
                 ("def ", f"test_user_session_token_{i}", "():", "tests/test_auth.py", 0),
                 ('password = "', f"your-password-example-{i}", '"', "examples/demo.py", 0)]
+        short, signed, named = text(6 + i % 5, letters[26:], "h", i), text(9 + i % 6, letters + "!&#%^*@.~?", "g", i), text(12 + i % 16, letters[:26] + letters[36:], "q", i)
+        lower, number, key = text(7 + i % 8, letters[36:], "l", i), text(6 + i % 6, "0123456789", "d", i), text(10 + i, letters, "b", i)
+        known = (DICTIONARY[7 * i].title() + "0rd!", DICTIONARY[5 * i + 3] + number[:3], DICTIONARY[6 * i + 1].title() + "@" + number[:4], DICTIONARY[8 * i + 2].title() + short[:3] + "!")
+        out += [(("password=", "db_passwd: ", "pwd = '", '"password": "', "DB_PASSWORD_PROD='")[(i + j) % 5], v, ("", " and", "'", '",', "'")[(i + j) % 5], "src/app.conf", 1) for j, v in enumerate(known)]
+        out += [(("password=", "db_passwd: ", "pwd = '", '"password": "')[i % 4], v, ("", " and", "'", '",')[i % 4], "src/app.conf", 1) for v in (short, signed, named, lower, number, f"{lower} {short} {lower[:4]}")]
+        out += [(('token = "', "secret: ", 'api_key="', '"secret_key": "')[i % 4], v, ('"', "", '"', '"')[i % 4], "src/app.conf", 1) for v in (short, signed, named, key)]
+        out += [(f"{('postgres', 'https', 'amqp', 'redis')[i % 4]}://{('bob', 'app', '', 'root')[i % 4]}:", v, "@db/x", "src/app.conf", 1) for v in (short, signed, lower, number)]
+        out += [("Authorization: Bearer ", key, "", "src/call.sh", 1)]
+        words = ("None", "null", "required", "string", "optional", "str", "true", "hidden", "value", "bytes", "must", "your")
+        calls = ("get_password(user)", "os.environ[\"DB_PASS", "${DB_PASSWORD}", "<password>", "{{ vault.password }}", "%s", "self.token", "args.secret", "config.get(\"token", "$TOKEN", "xxxxxxxx", "********")
+        out += [(before, v[i], after, path, 0) for v in (words, calls) for before, after, path in (("password=", "", "src/app.py"), ("token: ", ",", "src/app.py"), ('"secret": "', '"', "src/app.json"), ("api_key = ", "", "settings.py"))]
+        out += [("max_tokens: ", number[:6], "", "src/app.conf", 0), ("tokens = ", number[:4], "", "settings.py", 0), ("https://host:", f"{8000 + i}/user", "@db", "README.md", 0),
+                ("postgres://user:", words[i] if i % 2 else "${DB_PASSWORD}", "@db/x", "README.md", 0)]
     return out
 
 
@@ -123,6 +160,8 @@ def labelled_findings(docs: DataFrame, per_class: int = PER_CLASS, text_col: str
     rows = (docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), path.alias("path"), F.explode(findings(F.col(text_col))).alias("f"))
             .select("id", F.coalesce("path", F.lit("")).alias("path"), "f.before", "f.candidate", "f.after", "f.start"))
     c = F.col("candidate")
+    # values of doubtful kinds teach nothing: in a URL, or in context only
+    rows = rows.where(~(F.col("before").rlike(URL_USER) & F.col("after").startswith("@")) & c.rlike(PLAIN))
     rows = rows.withColumn("label", (c.rlike(FIXED_START) | (F.col("before").rlike(ASSIGNED) & c.rlike("[a-zA-Z]"))).cast("int"))
     order = (F.xxhash64("candidate", "id", "start"), "candidate", "id", "start")
     parts = [rows.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
