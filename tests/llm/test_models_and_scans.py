@@ -59,6 +59,13 @@ def test_folding_lexicon_and_exceptions():
     assert weight("the trash can") == 0 < weight("you trash") and weight("idiotic") == 0 == weight("57 10")
 
 
+def test_folding_drops_marks_and_invisible_characters():
+    for text in ("i\u0301diot", "id\u200biot", "idi\u200dot", "id\u00adiot", "\ufeffidiot", "idio\u0336t\u20dd"):
+        assert toxicity.fold(text) == " idiot "
+        assert sum(toxicity.learn([], [], []).word_weights(toxicity.fold(f"such an {text}")).values()) > 0
+    assert toxicity.fold("cafe\u0301 e\u0301te\u0301").split() == toxicity.fold("caf\u00e9 \u00e9t\u00e9").split() == ["cafe", "ete"]
+
+
 def test_licenses_match_their_oracle(spark):
     from trailcast.catalog.check import compare, duckdb_conn
     df = queries.op6_license_scan(spark, "/root/testdata/sf0.001")

@@ -3,7 +3,8 @@
 Folding: characters are lowered and look-alikes (Cyrillic, Greek, full-width, mathematical,
 accented letters) become Latin letters; digits and signs that stand for letters are read as
 letters inside a word (a digit if the word has a letter, a sign if a letter follows);
-everything else separates words.
+combining marks and invisible characters (categories Mn, Me, Cf) are dropped; everything else
+separates words.
 
 Lexicon: entries are whole words and word beginnings. A base list comes with a fixed weight;
 further entries are learned from labelled rows that aren't held out (a bounded sample, see
@@ -55,7 +56,7 @@ STEMS = (4, 5, 6, 7)
 SIGNIFICANT = 20.0
 POWERS = (0.25, 0.5, 0.75, 1.0)
 PIECE = 1 << 20
-LETTER, DIGIT, SIGN = 1, 2, 3
+LETTER, DIGIT, SIGN, DROPPED = 1, 2, 3, 4
 
 
 @lru_cache(maxsize=1)
@@ -63,6 +64,9 @@ def _fold_table() -> tuple[np.ndarray, np.ndarray]:
     """Folded code point (or blank) and class of every code point."""
     to, kind = np.full(0x110000, 0x20, np.uint32), np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
+        if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf"):
+            kind[c] = DROPPED
+            continue
         low = chr(c).lower()[:1] if not 0xD800 <= c < 0xE000 else " "
         low = LOOK_ALIKE.get(low, low)
         base = low if low.isascii() else unicodedata.normalize("NFKD", low)[0].lower()
@@ -77,9 +81,10 @@ def _fold_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 def fold(text: str) -> str:
-    """The folded text, character by character, between two blanks."""
+    """The folded text, character by character without the dropped ones, between two blanks."""
     codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     to, kinds = _fold_table()
+    codes = codes[kinds[codes] != DROPPED]
     out, kind = to[codes], kinds[codes]
     n = len(kind)
     if (kind == SIGN).any():                          # a sign needs a letter or digit after it
