@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailcast.llm import bpe, decontaminate, embeddings, lexical_search, licenses, quality, quality_rules, secret_scan, simhash, suffix_dedup, token_files, toxicity
+from trailcast.llm import bpe, decontaminate, embeddings, lexical_search, licenses, quality, quality_rules, secret_scan, simhash, suffix_dedup, token_files, toxicity, whitening
 
 
 def table(spark, sf_dir: str, name: str):
@@ -54,6 +54,11 @@ def op10_suffix_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,5 +68,5 @@ def op13_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_bpe_round_trip, op6_license_scan, op7_token_files, op8_simhash_near_dedup, op9_toxicity, op10_suffix_dedup, op12_lexical_search, op13_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_bpe_round_trip, op6_license_scan, op7_token_files, op8_simhash_near_dedup, op9_toxicity, op10_suffix_dedup, op11_embedding_whitening, op12_lexical_search, op13_quality_rules)}
 ORACLE: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op12_lexical_search": lexical_search.oracle_sql(), "op13_quality_rules": quality_rules.oracle_sql()}
