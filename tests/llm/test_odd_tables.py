@@ -10,9 +10,9 @@ from trailcast.llm import decontaminate, queries, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "embeddings", "labels")
-CLASH = ("score", "fingerprint", "component_id", "row", "kept", "n_tokens", "ids", "words", "key", "fp", "secret", "start", "length", "n_words", "bad_id__")
+CLASH = ("score", "fingerprint", "component_id", "row", "kept", "n_tokens", "ids", "words", "key", "fp", "secret", "start", "length", "n_words", "bad_id__", "rank", "item", "n", "component", "measure", "bin", "failed", "doc", "m", "by_word", "id", "v")
 ALL = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
-PER_ROW = [k for k in queries.QUERIES if k.split("_")[0] not in ("op1", "op2", "op6")]
+PER_ROW = [k for k in queries.QUERIES if k.split("_")[0] not in ("op1", "op2", "op6", "op11", "op12")]
 
 
 def odd(df):
@@ -49,6 +49,11 @@ def test_nulls_repeats_and_clashing_columns(spark, folders, query):
     elif query.startswith("op1_"):
         assert len(rows) == spark.read.parquet(f"{folders}/odd/embeddings.parquet").count()
         assert all((r.n_links, r.component_id) == (0, None) for r in rows if r.vec_id is None)
+    elif query.startswith("op11_"):
+        vectors = spark.read.parquet(f"{folders}/odd/embeddings.parquet").where("embedding is not null").count()
+        assert len(rows) == 8 * vectors and {r.n for r in rows} == {vectors}
+    elif query.startswith("op12_"):
+        assert rows and all(r.score > 0 and 1 <= r["rank"] <= 20 for r in rows)
     else:
         assert len(rows) <= docs
 
