@@ -51,7 +51,7 @@ def op9_toxicity(spark, sf_dir):
 
 def op10_suffix_dedup(spark, sf_dir):
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op11_embedding_whitening(spark, sf_dir):

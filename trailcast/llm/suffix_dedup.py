@@ -67,6 +67,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     order = (grams >> bits << bits) | np.arange(n, dtype=np.uint64)    # hash, then place
     least = _least(order, length - gram + 1)
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # the anchor is the least whole hash: mend the windows where its upper bits weren't alone
+    for at in np.flatnonzero(grams[place] != _least(grams, length - gram + 1)):
+        place[at] = at + np.argmin(grams[at:at + length - gram + 1])
     text = np.searchsorted(offsets, np.arange(len(place)), "right") - 1
     inside = np.arange(len(place)) + length <= offsets[text + 1]
     new = np.empty(len(place), bool)
