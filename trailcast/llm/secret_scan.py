@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from trailcast.llm.samples import held_out
 from trailcast.llm.scratch import Scratch
 
-MIN_LENGTH, PER_CLASS, TREES, DEPTH, THRESHOLD = 12, 2000, 20, 6, 0.5
+MIN_LENGTH, PER_CLASS, TREES, DEPTH, THRESHOLD, STEP = 12, 2000, 20, 6, 0.5, 64
 RUN = "A-Za-z0-9+/_\\-"
 PLAIN = f"(?<![{RUN}])(?=[A-Za-z+/_\\-]*+[0-9])[{RUN}]{{{MIN_LENGTH},}}+"
 #: Key words, and the name's end after them, before an assignment.
@@ -65,7 +65,9 @@ TEST_PATH = r"(?i)(?:test|example|sample|mock|fixture|demo|doc|readme|lock)"
 #: Strict formats that label findings: key ids with a fixed start, quoted or bare values after a
 #: key word and an assignment.
 FIXED_START = r"^(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk_live_[0-9A-Za-z]{24,}|xox[bp]-[0-9A-Za-z\-]{20,})$"
-ASSIGNED = r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?$"
+ASSIGNED = r"(?i)(?:password|passwd|secret|token|(?:api|access|private|secret)[_-]?key)[\"']?\s*[=:]\s*[\"']?$"
+#: Starts of tokens that some services give; not labelled where nothing else tells.
+TOKEN_START = r"^(?:AKIA|ASIA|AIza|ya29|gh[opusr]_|github_pat_|glpat-|gl[a-z]{2,4}-|sk[-_]|rk_|pk_|xox[a-z]-|xapp-|npm_|pypi-|hf_|dop_v1_|EAAC|eyJ)"
 FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "transition_share", "distinct_share", "hex_share", "longest_digits", "dictionary", "test_path", "path_depth", "key_word", "assigned", "quoted", "harmless", "word_before", "number_near", "password_word", "url_user", "reference", "plain_word", "other_signs")
 
 
@@ -75,18 +77,43 @@ def cut(text: Column) -> Column:
     return F.split(F.regexp_replace(clean, f"({CANDIDATE})", "\u0001$1\u0002"), "[\u0001\u0002]", -1)
 
 
+def _once(value: Column, build) -> Column:
+    """``build`` of a value that is computed once (a lambda's variable holds it)."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
+def _places(sizes: Column, then) -> Column:
+    """``then`` of a function from an index to the sum of the sizes before it: whole blocks are
+    added up once, so a place costs at most ``STEP`` additions and a text of n pieces n * STEP."""
+    zero = F.lit(0).cast("long")
+    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+    blocks = lambda n: F.sequence(F.lit(0), F.floor(n / STEP).cast("int"))
+    sums = F.transform(blocks(F.size(sizes)), lambda b: total(F.slice(sizes, b * STEP + 1, F.lit(STEP))))
+
+    def with_sums(s1):
+        upper = F.transform(blocks(F.size(s1)), lambda b: total(F.slice(s1, b * STEP + 1, F.lit(STEP))))
+        return _once(upper, lambda s2: then(lambda i: _once(F.floor(i / STEP).cast("int"), lambda b: total(F.slice(sizes, b * STEP + 1, i % STEP))
+                     + total(F.slice(s1, F.floor(b / STEP).cast("int") * STEP + 1, b % STEP)) + total(F.slice(s2, F.lit(1), F.floor(b / STEP).cast("int"))))))
+
+    return _once(sums, with_sums)
+
+
+def _number_of(parts: Column) -> Column:
+    return F.floor(F.size(parts) / 2).cast("int")
+
+
+def _piece(parts: Column, k: Column) -> list[Column]:
+    """Before, candidate and after of a text's k-th candidate."""
+    return [F.substring(F.get(parts, 2 * k), -80, 80).alias("before"), F.get(parts, 2 * k + 1).alias("candidate"), F.substring(F.get(parts, 2 * k + 2), 1, 80).alias("after")]
+
+
 def findings(text: Column) -> Column:
     """Array of (start, before, candidate, after) of a whole text; before and after are the
     nearest 80 characters."""
     def build(parts):
-        sizes = F.transform(parts, lambda p: F.length(p))
-        place = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda a, x: a + x)
-        one = lambda k: F.struct(place(2 * k + 1).alias("start"), F.substring(F.get(parts, 2 * k), -80, 80).alias("before"), F.get(parts, 2 * k + 1).alias("candidate"), F.substring(F.get(parts, 2 * k + 2), 1, 80).alias("after"))
-        n = F.floor(F.size(parts) / 2).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), one)
-    # one-element transform: the pieces are made once
-    whole = F.element_at(F.transform(F.array(cut(text)), build), 1)
-    return F.when(text.rlike(CANDIDATE), whole)
+        each = lambda place: F.transform(F.sequence(F.lit(0), _number_of(parts) - 1), lambda k: F.struct(place(2 * k + 1).alias("start"), *_piece(parts, k)))
+        return _once(F.transform(parts, lambda p: F.length(p)), lambda sizes: _places(sizes, each))
+    return F.when(text.rlike(CANDIDATE), _once(cut(text), build))
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -152,10 +179,11 @@ def example_rows(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
 
-def labelled_findings(docs: DataFrame, per_class: int = PER_CLASS, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = "source") -> DataFrame:
+def labelled_findings(docs: DataFrame, scratch: Scratch, per_class: int = PER_CLASS, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = "source") -> DataFrame:
     """Findings of rows that aren't held out, labelled by strict formats: 1 for a fixed start or
-    a mixed value assigned to a key word, 0 for anything else; at most ``per_class`` a class,
-    chosen by hash."""
+    a mixed value assigned to a key word, 0 for a run that no key word precedes and that has no
+    known start of a token (other findings teach nothing); at most ``per_class`` a class, chosen
+    by hash."""
     path = F.col(path_col).cast("string") if path_col and path_col in docs.columns else F.lit("")
     rows = (docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), path.alias("path"), F.explode(findings(F.col(text_col))).alias("f"))
             .select("id", F.coalesce("path", F.lit("")).alias("path"), "f.before", "f.candidate", "f.after", "f.start"))
@@ -163,6 +191,8 @@ def labelled_findings(docs: DataFrame, per_class: int = PER_CLASS, text_col: str
     # values of doubtful kinds teach nothing: in a URL, or in context only
     rows = rows.where(~(F.col("before").rlike(URL_USER) & F.col("after").startswith("@")) & c.rlike(PLAIN))
     rows = rows.withColumn("label", (c.rlike(FIXED_START) | (F.col("before").rlike(ASSIGNED) & c.rlike("[a-zA-Z]"))).cast("int"))
+    rows = rows.where((F.col("label") == 1) | ~(F.col("before").rlike(KEY_WORD) | c.rlike(TOKEN_START)))
+    rows = scratch.write(rows, "findings")                 # both classes read them
     order = (F.xxhash64("candidate", "id", "start"), "candidate", "id", "start")
     parts = [rows.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     return parts[0].union(parts[1]).select("before", "candidate", "after", "path", "label")
@@ -199,22 +229,30 @@ def _tree(lines: list[str]):
     return low if low == high else (int(k), float(at), low, high)
 
 
-def train(labelled: DataFrame, scratch: Scratch, trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from labelled findings (before, candidate, after, path, label)."""
+def train_model(labelled: DataFrame, scratch: Scratch, trees: int = TREES, depth: int = DEPTH):
+    """(Spark ML's forest, the feature rows) of labelled findings (before, candidate, after, path, label)."""
     f = F.struct("before", "candidate", "after")
     columns = features(f, F.col("path"))
     rows = scratch.write(labelled.select(*(c.alias(n) for c, n in zip(columns, FEATURES)), F.col("label").cast("double").alias("label")).coalesce(1), "labelled")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(vectors)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7).fit(vectors), vectors
+
+
+def forest_of(model) -> Forest:
+    """The model's trees as a :class:`Forest`."""
     return Forest([_tree([x for x in t.toDebugString.splitlines()[1:] if x.strip()]) for t in model.trees])
 
 
+def train(labelled: DataFrame, scratch: Scratch, trees: int = TREES, depth: int = DEPTH) -> Forest:
+    return forest_of(train_model(labelled, scratch, trees, depth)[0])
+
+
 def fit(docs: DataFrame, per_class: int = PER_CLASS, **columns) -> Forest:
     """Train on the documents' labelled findings and the fixed examples."""
     scratch = Scratch(docs.sparkSession, "secrets")
-    labelled = labelled_findings(docs, per_class, **columns).unionByName(example_rows(docs.sparkSession))
+    labelled = labelled_findings(docs, scratch, per_class, **columns).unionByName(example_rows(docs.sparkSession))
     forest = train(labelled, scratch)
-    scratch.drop("labelled")
+    scratch.drop("labelled", "findings")
     return forest
 
 
@@ -234,12 +272,17 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, mark:
     text = F.col(text_col)
 
     def rebuilt(parts):
-        n = F.floor(F.size(parts) / 2).cast("int")
-        valued = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array(*features(F.struct(F.substring(F.get(parts, 2 * k), -80, 80).alias("before"), F.get(parts, 2 * k + 1).alias("candidate"), F.substring(F.get(parts, 2 * k + 2), 1, 80).alias("after")), path)))
-        bad = F.transform(valued, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(len(FEATURES))]) >= threshold)
-        return F.when(F.exists(bad, lambda b: b), F.array_join(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when((i % 2 == 1) & F.element_at(F.transform(F.array(bad), lambda b: F.get(b, F.floor(i / 2).cast("int"))), 1), F.lit(mark)).otherwise(F.get(parts, i))), ""))
+        def is_bad(k):
+            valued = _once(F.struct(*_piece(parts, k)), lambda f: F.array(*features(f, path)))
+            return _once(valued, lambda v: forest.score([F.get(v, F.lit(i)) for i in range(len(FEATURES))]) >= threshold)
+
+        def joined(bad):                               # judged once for all pieces
+            kept = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when((i % 2 == 1) & F.get(bad, F.floor(i / 2).cast("int")), F.lit(mark)).otherwise(F.get(parts, i)))
+            return F.when(F.exists(bad, lambda b: b), F.array_join(kept, ""))
+
+        return _once(F.transform(F.sequence(F.lit(0), _number_of(parts) - 1), is_bad), joined)
 
-    changed = F.when(text.rlike(CANDIDATE), F.element_at(F.transform(F.array(cut(text)), rebuilt), 1))
+    changed = F.when(text.rlike(CANDIDATE), _once(cut(text), rebuilt))
     out = {text_col: F.coalesce("redacted__", text)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("redacted__").isNull(), F.col("n_chars")).otherwise(F.length("redacted__")).cast(dict(docs.dtypes)["n_chars"])
