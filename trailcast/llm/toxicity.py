@@ -138,8 +138,11 @@ class Lexicon:
                 free.append((start, end))
             elif w > found.get(start, 0.0):
                 found[start] = w
-        for start, end in free:
-            for at in [a for a in found if start <= a < end]:
+        if free and found:                             # places inside any exception, by sorted order
+            place = np.sort(np.fromiter(found, np.int64, len(found)))
+            edges = np.searchsorted(place, np.array(free, np.int64))
+            inside = np.cumsum(np.bincount(edges[:, 0], minlength=len(place) + 1) - np.bincount(edges[:, 1], minlength=len(place) + 1))
+            for at in place[inside[:-1] > 0].tolist():
                 del found[at]
         return found
 
