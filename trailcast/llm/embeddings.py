@@ -112,8 +112,9 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=32)
-def tables_needed(size: int, hashes: int, probes: int, threshold: float, recall: float, most: int = 48) -> int:
-    """Tables after which ``recall`` of random pairs at the threshold's angle have met."""
+def tables_needed(size: int, hashes: int, probes: int, threshold: float, recall: float, most: int = 512) -> int:
+    """Tables after which ``recall`` of random pairs at the threshold's angle have met; an error
+    if ``most`` tables are not enough."""
     rng = np.random.default_rng(11)
     a = rng.standard_normal((1500, size))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -125,7 +126,7 @@ def tables_needed(size: int, hashes: int, probes: int, threshold: float, recall:
         met |= _meet(keys_of(a, table, hashes, probes), keys_of(b, table, hashes, probes))
         if met.mean() >= recall:
             return table + 1
-    return most
+    raise ValueError(f"{most} tables of {hashes} hashes find {met.mean():.3f} of the pairs at cosine {threshold}, not {recall}: take fewer hashes or more probes")
 
 
 def _clean(batch, vec_at: int):
@@ -138,9 +139,7 @@ def _clean(batch, vec_at: int):
         at = np.flatnonzero(size == n)
         values = lists.take(pa.array(at)).flatten()
         x = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
-        with np.errstate(invalid="ignore", over="ignore"):
-            norm = np.sqrt((x * x).sum(1))
-        ok = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)  # squares may overflow: see _unit
         if ok.any():
             out.append((at[ok], x[ok]))
     return out
