@@ -84,4 +84,4 @@ def materialize(df, partition_by: list[str] | None = None):
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)      # also when it has no rows or files
