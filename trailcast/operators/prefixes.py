@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from trailcast.config import PrefixConfig
 from trailcast.functions.text import VALUES_MARKER, py_repr
+from trailcast.operators.digests import BEFORE, anchor_digest, earlier_digests, with_event_digests
 from trailcast.operators.split import seeded_order_key
 
 def map_text(attrs: Column, sort_keys: bool) -> Column:
@@ -203,28 +204,47 @@ def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
     return render_prefixes(with_anchors(blocks, cfg), cfg, ["split"] if "split" in blocks.columns else [])
 
 
+def digested(blocks: DataFrame, cfg: PrefixConfig, max_events: int | None = None) -> DataFrame:
+    """``blocks`` without their texts, with the digests of their events (``_d``) and of the
+    trace's earlier blocks (``before``, null in the first)."""
+    B = cfg.block_events
+    if max_events is None:
+        max_events = blocks.agg(F.max("n")).first()[0] or 0
+    rows = with_event_digests(blocks, cfg.dedup_sep).drop("cum_plain", "cum_key")
+    if max_events <= B:
+        return rows.withColumn("before", F.lit(None).cast(BEFORE)).drop("arr")
+    several = with_event_digests(blocks.where(F.col("n") > B), cfg.dedup_sep)
+    before = earlier_digests(several, B, math.ceil(math.log2(math.ceil(max_events / B))))
+    return rows.drop("arr").join(before, ["case_id", "blk"], "left")
+
+
 #: an anchor's place in the log as one number: trace position * PLACE + anchor (a long has
 #: at most 19 digits). A decimal is a fixed-width state of a hash aggregation.
 PLACE = Decimal(10) ** 19
 
 
 def first_places(blocks: DataFrame, cfg: PrefixConfig, cross_dedup: bool = False,
-                 splits: tuple[str, ...] = ("retrieval", "test"), seed: int | None = None) -> DataFrame:
+                 splits: tuple[str, ...] = ("retrieval", "test"), seed: int | None = None,
+                 max_events: int | None = None) -> DataFrame:
     """E4 and D3 before any text is rendered: the place (trace_pos, anchor) of the first row
     of each dedup key, per split (column ``split``) when the blocks have one; with
     ``cross_dedup`` a key of the first split gives no row of the second.
 
-    The dedup text is hashed (SHA-256) where it is made; one hash aggregation over the
+    Each anchor's digest comes from running sums over its trace's events
+    (:mod:`trailcast.operators.digests`, linear in the log); one hash aggregation over the
     fixed-width (digest, place) rows, combined before the shuffle. With ``seed`` the rows
-    carry ``_h``, the key's seeded order (G2)."""
-    text = dedup_text(cfg)
+    carry ``_h``, the key's seeded order (G2), which is an MD5 of the whole text: there the
+    text is made for every anchor and hashed (SHA-256)."""
     by_split = "split" in blocks.columns
     place = F.col("trace_pos").cast("decimal(19,0)") * F.lit(PLACE) + F.col("anchor").cast("decimal(19,0)")
-    keys = {"_k": F.unhex(F.sha2(text, 256))}
-    if seed is not None:
-        keys["_h"] = seeded_order_key(text, seed)
-    rows = with_anchors(blocks, cfg).select(
-        *[v.alias(k) for k, v in keys.items()], place.alias("_w"), *(["split"] if by_split else []))
+    if seed is None:
+        rows = with_anchors(digested(blocks, cfg, max_events), cfg)
+        keys = {"_k": anchor_digest(_local(cfg))}
+    else:
+        text = dedup_text(cfg)
+        rows = with_anchors(blocks, cfg)
+        keys = {"_k": F.unhex(F.sha2(text, 256)), "_h": seeded_order_key(text, seed)}
+    rows = rows.select(*[v.alias(k) for k, v in keys.items()], place.alias("_w"), *(["split"] if by_split else []))
     if by_split:
         first, second = splits
         agg = rows.groupBy(*keys).agg(*[F.min(F.when(F.col("split") == s, F.col("_w"))).alias(s) for s in splits])

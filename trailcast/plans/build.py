@@ -94,7 +94,7 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
     # read by the dedup (activities only) and by the rendering: written once
     blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces))
     if by_trace:
-        won = first_places(blocks, cfg, cfg.cross_dedup)
+        won = first_places(blocks, cfg, cfg.cross_dedup, max_events=stats.longest)
     else:
         # the test size is int(n * p) of the exact deduplicated row count: write the
         # narrow winners once, then count and rank them
