@@ -3,6 +3,8 @@ splits (A2, C1-C5, E1-E4, F1-F4, G1, G2, D3, I1-I4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from trailcast.operators.prefixes import render_events, trace_text
 from trailcast.operators.split import temporal_split
 from trailcast.operators.traces import event_positions, short_trace_filter, trace_table
 from trailcast.plans.build import all_prefixes, build_dataset
+from trailcast.plans.compact import compact_dataset, read_compact, write_compact
+from trailcast.session import ensure_checkpoint_dir
 from trailcast.sources.eventlog import (CONVERSATIONS_SPEC, EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC,
                                         ORDERS_SPEC, events_with_lifecycle, from_table)
 
@@ -112,6 +116,16 @@ def q_prefix_dedup(spark, d):
         "split", "row_id", "case_id", "anchor", "prefix", "prediction", "prefix_len")
 
 
+def q_prefix_compact_view(spark, d):
+    """The prefix table rendered from its compact form: blocks of 8 events and narrow rows,
+    written and read back."""
+    cfg = PrefixConfig(base=1, gap=3, m=1, block_size=8)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trailcast-compact/{uuid.uuid4().hex}"
+    write_compact(compact_dataset(events_log(spark, d), cfg), path)
+    return read_compact(spark, path).view().select(
+        "split", "row_id", "case_id", "anchor", "prefix", "prediction", "prefix_len")
+
+
 def q_cross_split_anti(spark, d):
     cfg = PrefixConfig(base=1, gap=3, m=0, cross_dedup=True)
     return build_dataset(orders_log(spark, d), cfg).select(
@@ -182,6 +196,7 @@ QUERIES = {
     "prefix_last_m_values": q_prefix_last_m_values,
     "composite_activity": q_composite_activity,
     "prefix_dedup": q_prefix_dedup,
+    "prefix_compact_view": q_prefix_compact_view,
     "cross_split_anti": q_cross_split_anti,
     "temporal_split": q_temporal_split,
     "row_split": q_row_split,
@@ -301,4 +316,5 @@ _KEPT = f"lower(regexp_replace({_LC}, '^\\s+|\\s+$', '', 'g')) IN ('complete', '
 _LC_POS = sqlx.EVENTS_POS.replace("FROM events", f"FROM events WHERE {_KEPT}")
 ORACLE["lifecycle_dedup"] = _dedup_sql(_prefix_sql(_LC_POS, 0, 1, "e.act"), _split_sql(sqlx.EVENTS_POS), cross=True)
 ORACLE["prefix_dedup_scale_path"] = ORACLE["prefix_dedup"]
+ORACLE["prefix_compact_view"] = ORACLE["prefix_dedup"]
 ORACLE["trace_assembly_scale_path"] = ORACLE["trace_assembly"]

@@ -113,10 +113,11 @@ BROADCAST_TRACES = 1_000_000   # trace rows (case, position, count, split) broad
 
 
 def trace_blocks(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
-                 max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
-    """Event blocks of every trace with more than two events, with the trace's columns and
-    the text of its earlier blocks: case_id, blk, arr, trace_pos, n [, split], cum_plain,
-    cum_key. Linear in the log (but for the earlier text, one copy per block).
+                 max_events: int | None = None, n_traces: int | None = None,
+                 earlier_text: bool = True) -> DataFrame:
+    """Event blocks of every trace with more than two events, with the trace's columns: case_id,
+    blk, arr, trace_pos, n [, split], linear in the log; and, with ``earlier_text``, the text of
+    the trace's earlier blocks (:func:`with_earlier_text`).
 
     events: rendered, positioned events (case_id, idx, act, plain, rich)
     traces: case_id, trace_pos, n [, split]
@@ -130,14 +131,21 @@ def trace_blocks(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
     tr = traces.filter(F.col("n") > 2).select("case_id", *trace_cols)
     small = n_traces is not None and n_traces <= BROADCAST_TRACES
     rows = blocks.join(F.broadcast(tr) if small else tr, "case_id")
+    return with_earlier_text(rows, cfg, max_events) if earlier_text else rows
+
+
+def with_earlier_text(rows: DataFrame, cfg: PrefixConfig, max_events: int | None = None) -> DataFrame:
+    """Blocks with cum_plain and cum_key, the text of the trace's earlier blocks (null in the
+    first): one copy per block, so only for what renders text."""
+    B = cfg.block_events
     if max_events is None:
-        max_events = tr.agg(F.max("n")).first()[0] or 0
+        max_events = rows.agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(max_events / B))
     if n_blocks == 1:
         return rows.withColumn("cum_plain", F.lit(None).cast("string")) \
             .withColumn("cum_key", F.lit(None).cast("string"))
     # only traces of several blocks take part in the scan
-    several = blocks.join(tr.filter(F.col("n") > B).select("case_id"), "case_id", "left_semi")
+    several = rows.filter(F.col("n") > B).select("case_id", "blk", "arr")
     cum = earlier_block_text(several, B, math.ceil(math.log2(n_blocks)), cfg.dedup_sep)
     return rows.join(cum, ["case_id", "blk"], "left")
 

@@ -18,7 +18,8 @@ from trailcast.config import PrefixConfig
 from trailcast.functions.naming import variant_name_py
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
 from trailcast.operators.prefixes import (anchor_steps, assemble_prefixes, first_places,
-                                          render_events, render_places, trace_blocks, with_anchors)
+                                          render_events, render_places, trace_blocks, with_anchors,
+                                          with_earlier_text)
 from trailcast.operators.ranking import row_number_within
 from trailcast.operators.split import row_split, temporal_split
 from trailcast.operators.traces import event_positions, trace_table
@@ -80,10 +81,9 @@ def transitions(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
     return anchor_steps(with_anchors(blocks, cfg), cfg)
 
 
-def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: str | None = None,
-                  **rank_opts) -> DataFrame:
-    """Prefix table: split, row_id (0-based position in the split's file order), case_id,
-    trace_pos, anchor, prefix, prediction, dedup_key, prefix_len [, variant]."""
+def winners(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), **rank_opts) -> tuple[DataFrame, DataFrame, LogStats]:
+    """(event blocks of all traces, written once; the rows that split and dedup leave: split,
+    row_id, trace_pos, anchor; the log's statistics). Linear in the log: no prefix text."""
     cfg.validate()
     traces = traces_of(log, cfg)
     stats = log_stats(traces, cfg)
@@ -92,18 +92,25 @@ def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: s
     split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
                            n_traces=stats.traces, **rank_opts) if by_trace else traces
     # read by the dedup (activities only) and by the rendering: written once
-    blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces))
+    blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces, earlier_text=False))
     if by_trace:
         won = first_places(blocks, cfg, cfg.cross_dedup, max_events=stats.longest)
     else:
-        # the test size is int(n * p) of the exact deduplicated row count: write the
-        # narrow winners once, then count and rank them
-        won = materialize(first_places(blocks, cfg, seed=cfg.row_split_seed))
+        # the seeded order is a hash of the whole text. The test size is int(n * p) of the exact
+        # deduplicated row count: write the narrow winners once, then count and rank them
+        won = materialize(first_places(with_earlier_text(blocks, cfg, stats.longest), cfg, seed=cfg.row_split_seed))
         won = row_split(won, cfg.test_share, cfg.row_split_seed, key="_k", n_rows=won.count(), **rank_opts)
     won = row_number_within(won.select("split", "trace_pos", "anchor"), ["trace_pos", "anchor"], ["split"],
                             name="row_id", materialize_input=True, n_rows=stats.anchors_upper, **rank_opts)
-    won = won.withColumn("row_id", F.col("row_id") - 1)
-    out = render_places(blocks, won, cfg, ["split", "row_id"]).select(*PREFIX_COLUMNS)
+    return blocks, won.withColumn("row_id", F.col("row_id") - 1), stats
+
+
+def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: str | None = None,
+                  **rank_opts) -> DataFrame:
+    """Prefix table: split, row_id (0-based position in the split's file order), case_id,
+    trace_pos, anchor, prefix, prediction, dedup_key, prefix_len [, variant]."""
+    blocks, won, stats = winners(log, cfg, **rank_opts)
+    out = render_places(with_earlier_text(blocks, cfg, stats.longest), won, cfg, ["split", "row_id"]).select(*PREFIX_COLUMNS)
     if variant is not None:
         out = out.withColumn("variant", F.lit(variant))
     return out
