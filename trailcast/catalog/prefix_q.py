@@ -4,6 +4,7 @@ splits (A2, C1-C5, E1-E4, F1-F4, G1, G2, D3, I1-I4)."""
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from trailcast.plans.compact import compact_dataset, read_compact, write_compact
 from trailcast.session import ensure_checkpoint_dir
 from trailcast.sources.eventlog import (CONVERSATIONS_SPEC, EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC,
                                         ORDERS_SPEC, events_with_lifecycle, from_table)
+from trailcast.streaming.live import start_live_prefixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +128,23 @@ def q_prefix_compact_view(spark, d):
         "split", "row_id", "case_id", "anchor", "prefix", "prediction", "prefix_len")
 
 
+def q_live_prefixes(spark, d):
+    """The events table replayed as a stream in two arrivals, cut at the middle of its time
+    span, and an event long after them that lets the watermark pass the last ones."""
+    events = table(spark, d, "events")
+    schema = events.schema
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trailcast-live/{uuid.uuid4().hex}"
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = low + (high - low) / 2
+    closing = spark.range(1).select(*[(F.lit(-1).cast(f.dataType) if f.name in ("user_id", "event_id") else
+                                       F.lit(high + timedelta(days=365)).cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+    for part in (events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle)), closing):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        start_live_prefixes(from_table(stream, EVENTS_SPEC), f"{root}/out", f"{root}/mark", PrefixConfig(base=1, gap=3, m=3), available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("case_id", "anchor", "prefix", "prediction")
+
+
 def q_cross_split_anti(spark, d):
     cfg = PrefixConfig(base=1, gap=3, m=0, cross_dedup=True)
     return build_dataset(orders_log(spark, d), cfg).select(
@@ -197,6 +216,7 @@ QUERIES = {
     "composite_activity": q_composite_activity,
     "prefix_dedup": q_prefix_dedup,
     "prefix_compact_view": q_prefix_compact_view,
+    "live_prefixes": q_live_prefixes,
     "cross_split_anti": q_cross_split_anti,
     "temporal_split": q_temporal_split,
     "row_split": q_row_split,
@@ -317,4 +337,5 @@ _LC_POS = sqlx.EVENTS_POS.replace("FROM events", f"FROM events WHERE {_KEPT}")
 ORACLE["lifecycle_dedup"] = _dedup_sql(_prefix_sql(_LC_POS, 0, 1, "e.act"), _split_sql(sqlx.EVENTS_POS), cross=True)
 ORACLE["prefix_dedup_scale_path"] = ORACLE["prefix_dedup"]
 ORACLE["prefix_compact_view"] = ORACLE["prefix_dedup"]
+ORACLE["live_prefixes"] = ORACLE["prefix_last_m_values"]
 ORACLE["trace_assembly_scale_path"] = ORACLE["trace_assembly"]

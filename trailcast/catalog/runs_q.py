@@ -8,6 +8,8 @@ the table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailcast.catalog import sqlx
@@ -18,6 +20,8 @@ from trailcast.functions.text import bytes_to_mb, format_duration
 from trailcast.operators.runs import (execution_report, group_history, history_entries, latest_per_key,
                                       run_grid, table_equality)
 from trailcast.plans.build import build_dataset
+from trailcast.session import ensure_checkpoint_dir
+from trailcast.sinks.run_history import RunHistory
 
 MODELS = ["hashing", "hashing_bigram"]
 
@@ -96,6 +100,16 @@ def q_run_history_grouped(spark, d):
     return group_history(history_entries(_reports(spark, d)))
 
 
+def q_run_history_entries(spark, d):
+    """Entries per configuration, in order, after two merges of runs."""
+    runs = history_entries(_reports(spark, d)).select("config_key", "config", "timestamp", "run_label")
+    history = RunHistory(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/trailcast-history/{uuid.uuid4().hex}")
+    odd = F.length("run_label") % 2 == 1
+    history.merge(runs.where(odd), ["timestamp", "run_label"])
+    history.merge(runs.where(~odd), ["timestamp", "run_label"])
+    return history.entries().select("config_key", "position", "timestamp", "run_label")
+
+
 def q_latest_report_per_variant(spark, d):
     s = _setups(spark, d)
     key = F.concat(F.when(F.col("m") > 1, F.concat(F.lit("last_"), F.col("m").cast("string"), F.lit("_")))
@@ -149,6 +163,7 @@ QUERIES = {
     "parse_variant": q_parse_variant,
     "eval_config_key": q_eval_config_key,
     "run_history_grouped": q_run_history_grouped,
+    "run_history_entries": q_run_history_entries,
     "latest_report_per_variant": q_latest_report_per_variant,
     "run_grid": q_run_grid,
     "table_equality": q_table_equality,
@@ -222,6 +237,8 @@ ORACLE = {
         max(timestamp) AS last_timestamp,
         (array_agg(run_label ORDER BY timestamp DESC, run_label DESC))[1] AS last_run_label,
         any_value({_split_type('dataset')}) AS split_type FROM ({_HIST}) GROUP BY config_key""",
+    "run_history_entries": f"""SELECT config_key, row_number() OVER (PARTITION BY config_key ORDER BY length(run_label) % 2 DESC, timestamp, run_label) AS position,
+        timestamp, run_label FROM ({_HIST})""",
     "latest_report_per_variant": f"""SELECT variant_key, timestamp, run_label FROM (
         SELECT CASE WHEN m > 1 THEN 'last_' || m || '_' ELSE '' END || 'b' || base || '_g' || gap AS variant_key,
                o_orderdate AS timestamp, o_orderkey, 'run_' || o_orderkey AS run_label FROM ({_SETUPS}))

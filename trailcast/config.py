@@ -64,6 +64,8 @@ class EvalConfig:
     boundaries: tuple[int, ...] = (5, 10, 20, 30)
     shuffle_seed: int = 7
     keep_individual_predictions: bool = False
+    approx: bool = False               # search an index of residual codes instead of all points
+    approx_recall: float = 0.95        # share of true neighbours its probed cells must hold
 
     def validate(self, known_encoders=None, known_rerankers=None) -> "EvalConfig":
         if self.top_k < 1:
@@ -76,6 +78,8 @@ class EvalConfig:
             raise ValueError("rerank_pool_k must be > 0")
         if self.rerank_pool_k is not None and self.rerank_pool_k < self.top_k:
             raise ValueError("the rerank pool cannot be smaller than top_k")
+        if not 0.0 < self.approx_recall <= 1.0:
+            raise ValueError("approx_recall must be within (0, 1]")
         if self.max_rows is not None and self.max_rows < 0:
             raise ValueError("max_rows must be >= 0")
         if list(self.boundaries) != sorted(set(self.boundaries)):

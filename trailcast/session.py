@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to its Python workers, unless they find it already."""
+    import trailcast
+    home = os.path.dirname(os.path.dirname(os.path.abspath(trailcast.__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if home in known or app in _shipped or not os.path.isdir(os.path.join(home, "trailcast")):
+        return
+    stage = tempfile.mkdtemp(prefix="trailcast-package-")     # Spark copies it from here
+    name = shutil.make_archive(os.path.join(stage, "trailcast"), "zip", home, "trailcast")
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the operators assume (idempotent, safe on a shared cluster session)."""
     conf = spark.conf
@@ -36,6 +54,7 @@ def configure(spark: SparkSession) -> SparkSession:
     # Partitions are overwritten per variant / model, never the whole table.
     conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
