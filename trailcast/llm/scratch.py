@@ -6,40 +6,20 @@ one folder per application."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailcast.session import ensure_checkpoint_dir
+from trailcast.session import ensure_checkpoint_dir, ship_package
 
 BATCH_BYTES = 8 << 20
 
 
-_shipped: set[str] = set()
-
-
-def _ship_package(spark: SparkSession) -> None:
-    """Let Spark send this package to its Python workers, unless they find it already."""
-    import trailcast
-    home = os.path.dirname(os.path.dirname(os.path.abspath(trailcast.__file__)))
-    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    app = spark.sparkContext.applicationId
-    if home in known or app in _shipped or not os.path.isdir(os.path.join(home, "trailcast")):
-        return
-    stage = tempfile.mkdtemp(prefix="trailcast-package-")     # Spark copies it from here
-    name = shutil.make_archive(os.path.join(stage, "trailcast"), "zip", home, "trailcast")
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def prepare(spark: SparkSession) -> None:
     """Session settings that the operators rely on: Arrow batches limited by bytes (long
     documents), adaptive execution with skew-join handling."""
-    _ship_package(spark)
+    ship_package(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
