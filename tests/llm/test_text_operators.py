@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailcast.llm import bpe, decontaminate, simhash, suffix_dedup, textops, token_files
 from trailcast.llm.scratch import Scratch
@@ -175,15 +176,16 @@ def brute_hits(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_words", [500_000, 10])
-def test_contamination_rows(spark, block_words):
+@pytest.mark.parametrize("block_bytes, piece", [(3 << 20, 1 << 16), (40, 1 << 16), (60, 12)])
+def test_contamination_rows(spark, monkeypatch, block_bytes, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
     rng = random.Random(8)
     words = ["a", "b", "Ça", "d1", "E"]
     some = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(9, some(3)), (10, some(16)), (11, None), (12, ""), (13, some(3)), (100, some(14)), (2, "a")]
     texts = [None, "", "--"] + [some(rng.randint(1, 60)) for _ in range(40)] + [f"{some(4)}, {items[1][1]}! {some(3)}", items[5][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = decontaminate.contamination(docs_of(spark, texts), bench, shard_words=50, block_words=block_words).collect()
+    rows = decontaminate.contamination(docs_of(spark, texts), bench, shard_words=50, block_bytes=block_bytes).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows}
     assert got == dict(enumerate(brute_hits(texts, items)))
     clean = decontaminate.remove_contaminated(docs_of(spark, texts), bench)
@@ -192,6 +194,28 @@ def test_contamination_rows(spark, block_words):
     assert len(empty) == len(texts) and not any(r.contaminated for r in empty)
 
 
+def test_pieces_hold_every_window():
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    words = decontaminate.textops.word_list(text)
+    windows = lambda ws: {tuple(ws[i:i + 13]) for i in range(max(1, len(ws) - 12))}
+    for limit in (10, 100, 5000, 1 << 20):
+        parts = [decontaminate.textops.word_list(p) for p in decontaminate.pieces_of(text, 13, limit)]
+        assert set().union(*map(windows, parts)) == windows(words) and all(len(p) >= 13 for p in parts)
+        assert all(len(" ".join(p)) <= limit or len(p) == 13 for p in parts)
+    assert decontaminate.pieces_of(None, 13, 10) == [""] and decontaminate.pieces_of("\n".join(["ab"] * 40), 13, 30)[0] == " ".join(["ab"] * 13)
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    """Items of many newline-separated words, and one very long item: blocks stay near the bound."""
+    from trailcast.llm.scratch import Scratch
+    items = [(i, "\n".join(f"x{i}y{j}" for j in range(400))) for i in range(100)] + [(100, " ".join(f"long{j}" for j in range(60_000)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces, n = decontaminate.deal_blocks(bench, "item_id", "text", 13, 200_000, Scratch(spark, "deal"))
+    sizes = [r.s for r in pieces.groupBy("block").agg(F.sum(F.octet_length("text")).alias("s")).collect()]
+    assert n >= 5 and max(sizes) < 2 * 200_000 + decontaminate.PIECE_BYTES
+    assert pieces.agg(F.max(F.octet_length("text"))).first()[0] <= decontaminate.PIECE_BYTES
+
+
 def test_phrases_and_proximity(spark):
     docs = docs_of(spark, ["x cat y dog z cat dog", "dog a b c cat", None])
     found = decontaminate.matches(docs, [(1, "cat dog")]).collect()

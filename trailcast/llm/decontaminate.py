@@ -10,8 +10,13 @@ so on. Proximity search takes the same lists: all terms of a query within ``span
 any order, again from the rarest term.
 
 How rare a term is comes from the index itself, over all documents. The benchmark is a
-stated query set: it is read in blocks of at most ``block_words`` words, so what travels to
-the tasks is bounded however large it is, and the blocks' hits are united per document.
+stated query set, searched in blocks: a job cuts long items into pieces of at most ``PIECE_BYTES``
+(overlapping by a window less a word, so no window is lost) and deals pieces by hash over as
+many blocks as give about ``block_bytes`` each. The driver and the tasks hold one block at a
+time, however large the benchmark is. The documents are read once, for one index: of
+the block's own terms, or, for several blocks, of all words whose hash is set in a bit map of
+fixed size that a job has made from all items. Each block then reads the index, and the blocks'
+hits are united per document.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered; a term is the
 64-bit hash of a word. Defined cases: null and empty texts have no words and no hits; empty
@@ -33,9 +38,11 @@ from trailcast.llm.scratch import Scratch
 
 WINDOW = 13
 SHARD_WORDS = 400_000
-BLOCK_WORDS = 500_000
+BLOCK_BYTES = 3 << 20
+PIECE_BYTES = 1 << 16
+MAP_BITS = 24                  # the bit map of several blocks' terms: 2 MB
 CANDIDATES = 1 << 20
-INDEX = "rows array<long>, n_words array<int>, terms array<int>, counts array<int>, gaps array<int>"
+INDEX = "rows array<long>, n_words array<int>, terms array<long>, counts array<int>, gaps array<int>"
 
 
 class Windows:
@@ -66,23 +73,68 @@ class Windows:
         return terms, offsets, size
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
-    """The items, streamed in blocks of at most about ``block_words`` words."""
-    block, total = [], 0
-    for item, text in benchmark.select(id_col, text_col).toLocalIterator():
-        block.append((item, text))
-        total += 1 + (text or "").count(" ")
-        if total >= block_words:
-            yield block
-            block, total = [], 0
-    yield block
+def pieces_of(text: str | None, window: int, limit: int) -> list[str]:
+    """A text in pieces of at most about ``limit`` bytes (and a window of words) that hold all
+    its windows: each but the first begins with the last window - 1 words of the one before."""
+    if len(text or "") <= limit // 4 or len((text or "").encode("utf-8", "ignore")) <= limit:
+        return [text or ""]
+    words = textops.word_list(text)
+    ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
+    out, lo = [], 0
+    while True:
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right"))
+        hi = min(len(words), max(hi, lo + window))
+        out.append(" ".join(words[lo:hi]))
+        if hi == len(words):
+            return out
+        lo = hi - window + 1
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, hole: int, scratch: Scratch, label: str, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Store the postings of ``terms`` (sorted hashes) in all texts: one row per shard.
-    ``docs`` has columns row (long) and text."""
-    near = np.zeros(1 << 16, bool)
-    near[(terms >> np.uint64(48)).astype(np.int64)] = True
+def deal_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The items' pieces (item, text, block) as a table, and the number of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):              # pieces of one item at a time
+                out = pieces_of(batch.column(1)[row].as_py(), window, PIECE_BYTES)
+                yield pa.record_batch([pa.array([batch.column(0)[row].as_py()] * len(out), batch.column(0).type), pa.array(out, pa.string())], names=["item", "text"])
+
+    kind = dict(benchmark.dtypes)[id_col]
+    narrow = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("length(text) > 0")
+    pieces = scratch.write(narrow.mapInArrow(run, f"item {kind}, text string"), "pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // block_bytes))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), blocks
+
+
+def term_map(pieces: DataFrame) -> np.ndarray:
+    """A bit for the upper bits of each term's hash, united over all pieces: fixed size."""
+    size = 1 << MAP_BITS
+
+    def run(batches):
+        seen = np.zeros(size, bool)
+        for batch in batches:
+            data, offsets = textops.text_bytes(batch.column(0))
+            seen[(textops.words(data, offsets)[0] >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+        packed = np.packbits(seen).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(packed[at])], names=["at", "bits"])
+
+    out = np.zeros(size // 64, np.int64)
+    for at, bits in pieces.select("text").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        out[at] = bits                                     # at most 2 ** MAP_BITS / 64 rows
+    return np.unpackbits(out.view(np.uint8)).astype(bool)
+
+
+def build_index(docs: DataFrame, terms: np.ndarray | None, hole: int, scratch: Scratch, label: str, shard_words: int = SHARD_WORDS, seen: np.ndarray | None = None) -> DataFrame:
+    """Store the postings of ``terms`` (sorted hashes), or of all words in the bit map ``seen``, in
+    all texts: one row per shard, terms by hash. ``docs`` has columns row (long) and text."""
+    if seen is None:
+        near = np.zeros(1 << 16, bool)
+        near[(terms >> np.uint64(48)).astype(np.int64)] = True
+        shift = np.uint64(48)
+    else:
+        near, shift = seen, np.uint64(64 - MAP_BITS)
 
     def shard(rows, sizes, places, numbers):
         rows, sizes = np.concatenate(rows), np.concatenate(sizes)
@@ -93,7 +145,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, hole: int, scratch: Scratch,
         gaps = np.diff(places, prepend=0)
         gaps[start] = places[start]
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-        return pa.record_batch([one(rows, pa.int64()), one(sizes, pa.int32()), one(present, pa.int32()), one(counts, pa.int32()), one(gaps, pa.int32())], names=["rows", "n_words", "terms", "counts", "gaps"])
+        return pa.record_batch([one(rows, pa.int64()), one(sizes, pa.int32()), one(present.view(np.int64), pa.int64()), one(counts, pa.int32()), one(gaps, pa.int32())], names=["rows", "n_words", "terms", "counts", "gaps"])
 
     def run(batches):
         rows, sizes, places, numbers, base = [], [], [], [], 0
@@ -106,16 +158,16 @@ def build_index(docs: DataFrame, terms: np.ndarray, hole: int, scratch: Scratch,
                 n = np.diff(first)
                 starts = base + np.cumsum(n + hole) - (n + hole)
                 base += int(n.sum()) + hole * len(n)
-                maybe = np.flatnonzero(near[(hashes >> np.uint64(48)).astype(np.int64)])
-                number = np.searchsorted(terms, hashes[maybe])
-                number[number == len(terms)] = 0
-                hit = terms[number] == hashes[maybe] if len(terms) else np.zeros(0, bool)
-                word = maybe[hit]
+                word = np.flatnonzero(near[(hashes >> shift).astype(np.int64)])
+                if terms is not None:
+                    number = np.searchsorted(terms, hashes[word])
+                    number[number == len(terms)] = 0
+                    word = word[terms[number] == hashes[word]] if len(terms) else word[:0]
                 doc = np.searchsorted(first, word, "right") - 1
                 rows.append(own_rows[lo:hi])
                 sizes.append(n.astype(np.int32))
                 places.append((starts[doc] + word - first[doc]).astype(np.int64))
-                numbers.append(number[hit].astype(np.int32))
+                numbers.append(hashes[word])
                 if base >= shard_words:
                     yield shard(rows, sizes, places, numbers)
                     rows, sizes, places, numbers, base = [], [], [], [], 0
@@ -125,15 +177,31 @@ def build_index(docs: DataFrame, terms: np.ndarray, hole: int, scratch: Scratch,
     return scratch.write(docs.select("row", "text").mapInArrow(run, INDEX), label)
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each term over all documents (n_terms numbers)."""
-    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    out = np.zeros(n_terms, np.int64)
-    for term, n in each.collect():
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences of each of a block's terms over all documents."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                number, own = _known(batch.column(2)[k].values.to_numpy().view(np.uint64), terms)
+                yield pa.record_batch([pa.array(number, pa.int32()), pa.array(batch.column(3)[k].values.to_numpy()[own].astype(np.int64))], names=["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for term, n in index.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
         out[term] = n
     return out
 
 
+def _known(hashes: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number in ``terms``, place) of the hashes that are terms; both lists are sorted."""
+    if not len(terms):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    number = np.searchsorted(terms, hashes)
+    number[number == len(terms)] = 0
+    own = np.flatnonzero(terms[number] == hashes)
+    return number[own], own
+
+
 class Shard:
     """A shard's postings, for lookups of (term, position)."""
 
@@ -223,10 +291,17 @@ def near_starts(shard: Shard, terms, sizes, span: int, limit: int = CANDIDATES):
     return pairs[:, 0], pairs[:, 1]
 
 
-def _shards(batches, n_terms, hole):
+def _shards(batches, block_terms, hole):
+    """The shards of an index, with the postings of a block's terms by their numbers."""
     for batch in batches:
         for k in range(batch.num_rows):
-            yield Shard(*(batch.column(c)[k].values.to_numpy() for c in range(5)), n_terms, hole)
+            rows, n_words, terms, counts, gaps = (batch.column(c)[k].values.to_numpy() for c in range(5))
+            number, own = _known(terms.view(np.uint64), block_terms)
+            if len(own) < len(terms):
+                begin = np.cumsum(counts.astype(np.int64)) - counts
+                gaps = gaps[textops.ranges(begin[own], counts[own].astype(np.int64))]
+                counts = counts[own]
+            yield Shard(rows, n_words, number, counts, gaps, len(block_terms), hole)
 
 
 HITS = "row long, n_words long, starts array<int>, ends array<int>, items array<long>"
@@ -237,10 +312,10 @@ def _document_hits(index: DataFrame, windows: Windows, counts: np.ndarray, hole:
     terms, offsets, sizes = windows.by_rarity(counts)
     item_at = np.concatenate([[0], np.cumsum([len(x) for x in windows.items])]).astype(np.int64)
     item_of = np.array([i for x in windows.items for i in x], np.int64)
-    n_terms = len(windows.terms)
+    block_terms = windows.terms
 
     def run(batches):
-        for shard in _shards(batches, n_terms, hole):
+        for shard in _shards(batches, block_terms, hole):
             window, start = phrase_starts(shard, terms, offsets, sizes)
             cover = np.zeros(shard.length + 1, np.int32)
             np.add.at(cover, start, 1)
@@ -261,17 +336,20 @@ def _document_hits(index: DataFrame, windows: Windows, counts: np.ndarray, hole:
     return index.mapInArrow(run, HITS)
 
 
-def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def document_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row, n_words, starts and ends (maximal runs of words inside
     occurrences of a window, end exclusive, ascending) and items (ascending ids)."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     narrow = scratch.numbered(docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text")))
+    pieces, n_blocks = deal_blocks(benchmark, item_col, item_text, window, block_bytes, scratch)
+    index = build_index(narrow, None, window, scratch, "index", shard_words, term_map(pieces)) if n_blocks > 1 else None
     parts = []
-    for k, block in enumerate(blocks_of(benchmark, item_col, item_text, block_words)):
-        windows = Windows(block, window)
-        index = build_index(narrow, windows.terms, window, scratch, f"index-{k}", shard_words)
-        parts.append(scratch.write(_document_hits(index, windows, term_counts(index, len(windows.terms)), window), f"hits-{k}"))
-        scratch.drop(f"index-{k}")
+    for k in range(n_blocks):
+        windows = Windows([tuple(r) for r in pieces.where(F.col("block") == k).select("item", "text").collect()], window)
+        if index is None:
+            index = build_index(narrow, windows.terms, window, scratch, "index", shard_words)
+        parts.append(scratch.write(_document_hits(index, windows, term_counts(index, windows.terms), window), f"hits-{k}"))
+    scratch.drop("index", "pieces")
     names = narrow.drop("text")
     if len(parts) == 1:
         return names.join(parts[0], "row").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_words", "starts", "ends", "items")
@@ -305,11 +383,11 @@ def matches(docs: DataFrame, queries: list[tuple[int, str]], span: int | None =
     windows = Windows(queries, longest)
     narrow = scratch.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     index = build_index(narrow, windows.terms, longest, scratch, "index", shard_words)
-    terms, offsets, sizes = windows.by_rarity(term_counts(index, len(windows.terms)))
-    n_terms = len(windows.terms)
+    terms, offsets, sizes = windows.by_rarity(term_counts(index, windows.terms))
+    block_terms = windows.terms
 
     def run(batches):
-        for shard in _shards(batches, n_terms, longest):
+        for shard in _shards(batches, block_terms, longest):
             window, start = phrase_starts(shard, terms, offsets, sizes) if span is None else near_starts(shard, terms, sizes, span)
             doc = shard.doc(start)
             for k, items in enumerate(windows.items):
