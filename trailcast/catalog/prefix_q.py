@@ -18,9 +18,10 @@ from trailcast.operators.split import temporal_split
 from trailcast.operators.traces import event_positions, short_trace_filter, trace_table
 from trailcast.plans.build import all_prefixes, build_dataset
 from trailcast.plans.compact import compact_dataset, read_compact, write_compact
+from trailcast.plans.split_xes import split_xes
 from trailcast.session import ensure_checkpoint_dir
-from trailcast.sources.eventlog import (CONVERSATIONS_SPEC, EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC,
-                                        ORDERS_SPEC, events_with_lifecycle, from_table)
+from trailcast.sources.eventlog import (CASE_PREFIX, CONVERSATIONS_SPEC, EVENTS_LIFECYCLE_SPEC, EVENTS_SPEC,
+                                        ORDERS_SPEC, events_with_lifecycle, from_table, read_xes_events)
 from trailcast.streaming.live import start_live_prefixes
 
 
@@ -156,6 +157,35 @@ def q_temporal_split(spark, d):
     return temporal_split(tr, 0.3).select("case_id", "split", "split_rank")
 
 
+def _write_events_xes(spark, d, path):
+    """The events table as an XES log: a trace per user, a list attribute per event."""
+    pair = lambda key, value: F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_value"))
+    tags = F.struct(F.lit("tags").alias("_key"), F.struct(F.array(
+        pair("id", F.col("event_id")), pair("props", F.col("props"))).alias("string")).alias("values"))
+    time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    event = F.struct("event_id", F.array(pair("concept:name", F.col("event_type"))).alias("string"),
+                     F.array(pair("time:timestamp", time)).alias("date"), F.array(tags).alias("list"))
+    traces = table(spark, d, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(
+        F.array_sort(F.collect_list(event)).alias("event"), F.min("event_id").alias("first")).orderBy("first")
+    traces.select(F.array(pair("concept:name", F.col("user_id"))).alias("string"), F.transform(
+        "event", lambda e: e.dropFields("event_id")).alias("event")).write.format("xml").option("rootTag", "log") \
+        .option("rowTag", "trace").option("attributePrefix", "_").save(path)
+
+
+def q_xes_split(spark, d):
+    """B3 + A1: a log in XES split by end times into two logs; both read back event by event,
+    with the nested attribute as JSON text."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trailcast-xes/{uuid.uuid4().hex}"
+    _write_events_xes(spark, d, f"{root}/log")
+    split_xes(spark, f"{root}/log", f"{root}/out", 0.3)
+    a = F.col("attributes")
+    sides = [read_xes_events(spark, f"{root}/out/split={s}").select(
+        F.lit(s).alias("split"), a[CASE_PREFIX + "concept:name"].cast("long").alias("case_id"),
+        F.col("event_in_trace").cast("long").alias("event_in_trace"), a["concept:name"].alias("activity"),
+        a["tags"].alias("tags")) for s in ("retrieval", "test")]
+    return sides[0].unionByName(sides[1])
+
+
 def q_row_split(spark, d):
     cfg = PrefixConfig(base=1, gap=3, m=0, split_mode="row")
     return build_dataset(events_log(spark, d), cfg).select(
@@ -219,6 +249,7 @@ QUERIES = {
     "live_prefixes": q_live_prefixes,
     "cross_split_anti": q_cross_split_anti,
     "temporal_split": q_temporal_split,
+    "xes_split": q_xes_split,
     "row_split": q_row_split,
     "lifecycle_dedup": q_lifecycle_dedup,
     "attribute_abbrev": q_attribute_abbrev,
@@ -317,6 +348,15 @@ ORACLE = {
     "cross_split_anti": f"""SELECT split, row_id, case_id, anchor, prefix, prediction FROM (
         {_dedup_sql(_prefix_sql(sqlx.ORDERS_POS, 1, 3, 'e.act'), _split_sql(sqlx.ORDERS_POS), cross=True)})""",
     "temporal_split": f"""SELECT case_id, split, split_rank FROM ({_split_sql(sqlx.ORDERS_POS)})""",
+    "xes_split": """
+WITH t AS (SELECT user_id, max(ts) AS end_ts, min(event_id) AS first FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+s AS (SELECT user_id, CASE WHEN row_number() OVER (ORDER BY end_ts ASC NULLS FIRST, first) > count(*) OVER ()
+  - CAST(floor(CAST(count(*) OVER () AS DOUBLE) * CAST(0.3 AS DOUBLE)) AS BIGINT) THEN 'test' ELSE 'retrieval' END AS split FROM t)
+SELECT s.split, CAST(e.user_id AS BIGINT) AS case_id,
+  row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) - 1 AS event_in_trace, e.event_type AS activity,
+  '[{"key": "id", "value": "' || e.event_id || '"}, {"key": "props", "value": '
+  || coalesce(CAST(to_json(e.props) AS VARCHAR), 'null') || '}]' AS tags
+FROM events e JOIN s USING (user_id)""",
     "row_split": f"""
 WITH pr AS ({_prefix_sql(sqlx.EVENTS_POS, 1, 3, 'e.act')}),
 w AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY trace_pos, anchor) = 1),

@@ -52,10 +52,16 @@ def positioned_events(log: DataFrame, cfg: PrefixConfig, stats: LogStats | None
     return render_events(pos, cfg)
 
 
-def traces_of(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
+def traces_of(log: DataFrame, cfg: PrefixConfig, eventless: DataFrame | None = None) -> DataFrame:
     """The trace table, written once: the stats, the split and the assembly all read it,
-    and recomputing it would rescan the whole event log each time."""
-    return materialize(trace_table(log, lifecycle_filter=cfg.lifecycle_filter))
+    and recomputing it would rescan the whole event log each time. ``eventless`` (first_pos)
+    traces only count and take their place in the split: their case stays null."""
+    traces = trace_table(log, lifecycle_filter=cfg.lifecycle_filter)
+    if eventless is not None:
+        fill = {"trace_pos": F.col("first_pos"), "first_pos": F.col("first_pos"), "n_all": F.lit(0), "n": F.lit(0)}
+        traces = traces.unionByName(eventless.select(*[
+            fill.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in traces.schema.fields]))
+    return materialize(traces)
 
 
 def all_prefixes(log: DataFrame, cfg: PrefixConfig, traces: DataFrame | None = None,
@@ -81,11 +87,12 @@ def transitions(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
     return anchor_steps(with_anchors(blocks, cfg), cfg)
 
 
-def winners(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), **rank_opts) -> tuple[DataFrame, DataFrame, LogStats]:
+def winners(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), eventless: DataFrame | None = None,
+            **rank_opts) -> tuple[DataFrame, DataFrame, LogStats]:
     """(event blocks of all traces, written once; the rows that split and dedup leave: split,
     row_id, trace_pos, anchor; the log's statistics). Linear in the log: no prefix text."""
     cfg.validate()
-    traces = traces_of(log, cfg)
+    traces = traces_of(log, cfg, eventless)
     stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
     by_trace = cfg.split_mode == "trace"
@@ -106,10 +113,11 @@ def winners(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), **rank_opts) ->
 
 
 def build_dataset(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), variant: str | None = None,
-                  **rank_opts) -> DataFrame:
+                  eventless: DataFrame | None = None, **rank_opts) -> DataFrame:
     """Prefix table: split, row_id (0-based position in the split's file order), case_id,
-    trace_pos, anchor, prefix, prediction, dedup_key, prefix_len [, variant]."""
-    blocks, won, stats = winners(log, cfg, **rank_opts)
+    trace_pos, anchor, prefix, prediction, dedup_key, prefix_len [, variant]. ``eventless``:
+    places of the log's traces without events (:func:`~trailcast.sources.eventlog.eventless_traces`)."""
+    blocks, won, stats = winners(log, cfg, eventless, **rank_opts)
     out = render_places(with_earlier_text(blocks, cfg, stats.longest), won, cfg, ["split", "row_id"]).select(*PREFIX_COLUMNS)
     if variant is not None:
         out = out.withColumn("variant", F.lit(variant))

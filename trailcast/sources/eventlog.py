@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from trailcast.config import EventLogSpec
 from trailcast.functions.text import abbreviate, composite_activity, py_repr, value_text
+from trailcast.sources.xes import nested_attributes, xes_records
 
 CASE_PREFIX = "case:"
+LIFECYCLE = "lifecycle:transition"
 
 
 def abbreviations(spark: SparkSession, names: list[str]) -> dict[str, str]:
@@ -128,11 +130,13 @@ XES_TRACE_SCHEMA = T.StructType([T.StructField(k, _ATTR) for k in _ATTR_KINDS] +
                                 [T.StructField("event", T.ArrayType(_EVENT))])
 
 
-def _attr_map(struct_col: F.Column) -> F.Column:
-    """All typed key/value children of an XES element as one map<string,string>."""
+ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def _attr_entries(struct_col: F.Column) -> F.Column:
+    """All typed key/value children of an XES element as key/value entries."""
     arrays = [F.coalesce(struct_col[k], F.array().cast(_ATTR)) for k in _ATTR_KINDS]
-    entries = F.transform(F.concat(*arrays), lambda a: F.named_struct(F.lit("key"), a["_key"], F.lit("value"), a["_value"]))
-    return _last_wins(entries)
+    return F.transform(F.concat(*arrays), lambda a: F.named_struct(F.lit("key"), a["_key"], F.lit("value"), a["_value"]))
 
 
 def _last_wins(entries: F.Column) -> F.Column:
@@ -146,32 +150,42 @@ def _last_wins(entries: F.Column) -> F.Column:
 TRACE_SHIFT = 1 << 24   # event_pos = trace_pos * TRACE_SHIFT + position inside the trace
 
 
+def _parsed(records: DataFrame, **more) -> DataFrame:
+    """Typed attributes and events of trace texts, in the layout of ``XES_TRACE_SCHEMA``."""
+    fields = F.from_xml("xml", XES_TRACE_SCHEMA.simpleString(), {"rowTag": "trace", "attributePrefix": "_"})
+    return records.select("trace_pos", fields.alias("_t"), *[c.alias(n) for n, c in more.items()]) \
+        .select("trace_pos", "_t.*", *more)
+
+
 def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Raw XES traces (one row per ``<trace>``) with ``trace_pos``: file order of the trace
-    (file path, block, position inside the block), numbered by the skew-safe ranking."""
-    from trailcast.operators.ranking import row_number_within
-    from trailcast.session import materialize
-    raw = (spark.read.format("xml").option("rowTag", "trace").option("attributePrefix", "_")
-           .schema(XES_TRACE_SCHEMA).load(path)
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_block", F.col("_metadata.file_block_start"))
-           .withColumn("_mono", F.monotonically_increasing_id()))
-    # parsed once; a trace element may be long, so few of them go through one task
-    return row_number_within(materialize(raw), ["_file", "_block", "_mono"], name="trace_pos", small_rows=10_000) \
-        .drop("_file", "_block", "_mono")
+    """XES traces (one row per ``<trace>``, also those without events) with ``trace_pos``, the
+    trace's place in the log."""
+    return _parsed(xes_records(spark, path))
+
+
+def eventless_traces(traces: DataFrame) -> DataFrame:
+    """Places (``first_pos``) of the traces without events: they count in the temporal split's N
+    (``build_dataset(..., eventless=...)``), though no event of theirs is in the log."""
+    return traces.where(F.col("event").isNull() | (F.size("event") == 0)) \
+        .select((F.col("trace_pos") * F.lit(TRACE_SHIFT)).alias("first_pos"))
 
 
 def read_xes_events(spark: SparkSession, path: str) -> DataFrame:
     """A1: one row per event with all attributes as map<string,string>; trace attributes
-    carry the ``case:`` prefix. Columns: trace_pos, event_in_trace, attributes."""
-    traces = read_xes_traces(spark, path)
-    trace_attrs = _attr_map(F.struct(*[F.col(k) for k in _ATTR_KINDS]))
+    carry the ``case:`` prefix; lists and containers are JSON text, ``[{"key": .., "value": ..}, ..]``
+    in document order. Columns: trace_pos, event_in_trace, attributes."""
+    records = xes_records(spark, path)
+    nested = nested_attributes(records)
+    none = F.array().cast(ENTRIES)
+    traces = _parsed(records, _nested=none if nested is None else nested)
+    deep = (lambda at: none) if nested is None else \
+        (lambda at: F.coalesce(F.map_entries(F.get("_nested", at)), none))
+    own = _last_wins(F.concat(_attr_entries(F.struct(*[F.col(k) for k in _ATTR_KINDS])), deep(F.lit(0))))
     ev = traces.select(
-        "trace_pos",
-        F.transform_keys(trace_attrs, lambda k, v: F.concat(F.lit(CASE_PREFIX), k)).alias("_tattrs"),
-        F.posexplode("event").alias("event_in_trace", "ev"))
-    return ev.select("trace_pos", "event_in_trace",
-                     _last_wins(F.concat(F.map_entries("_tattrs"), F.map_entries(_attr_map(F.col("ev"))))).alias("attributes"))
+        "trace_pos", F.transform_keys(own, lambda k, v: F.concat(F.lit(CASE_PREFIX), k)).alias("_tattrs"),
+        "_nested", F.posexplode("event").alias("event_in_trace", "ev"))
+    return ev.select("trace_pos", "event_in_trace", _last_wins(F.concat(
+        F.map_entries("_tattrs"), _attr_entries(F.col("ev")), deep(F.col("event_in_trace") + 1))).alias("attributes"))
 
 
 def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name",
@@ -180,11 +194,15 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
     """Canonical log from :func:`read_xes_events`. Trace attributes other than the trace
     id are dropped (C2); ``attr_keys`` lists the event attributes kept as values, in
     column order. Default: the event attribute names present in the log (a distinct
-    over names - bounded by the log's schema, not its size), sorted."""
+    over names - bounded by the log's schema, not its size), sorted. A log in which no event has
+    a lifecycle gets no lifecycle column, so that the filter (C1) leaves it whole."""
     a = F.col("attributes")
     if attr_keys is None:
         names = xes_events.select(F.explode(F.map_keys("attributes")).alias("k")).distinct().collect()
         attr_keys = sorted(r.k for r in names)
+        has_lifecycle = LIFECYCLE in attr_keys
+    else:
+        has_lifecycle = xes_events.where(F.map_contains_key("attributes", LIFECYCLE)).limit(1).count() > 0
     keys = attr_keys
     # composite labels (e.g. name + lifecycle + resource + role) leave the values
     keys = [k for k in keys if not k.startswith(CASE_PREFIX) and k != "concept:name" and k not in activity_keys]
@@ -205,7 +223,7 @@ def xes_to_log(xes_events: DataFrame, trace_identifier: str = "case:concept:name
         (composite_activity(a["concept:name"], *[a[k] for k in activity_keys]) if activity_keys
          else a["concept:name"]).alias("activity"),
         F.to_timestamp(a["time:timestamp"]).alias("ts"),
-        a["lifecycle:transition"].alias("lifecycle"), a.alias("attributes"))
+        *([a[LIFECYCLE].alias("lifecycle")] if has_lifecycle else []), a.alias("attributes"))
     return rendered(base, texts).drop("attributes")
 
 
