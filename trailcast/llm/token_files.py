@@ -4,17 +4,20 @@ Documents are encoded with a byte-level BPE file, an end id is appended to each,
 are laid out in ascending document order over range partitions. Every partition becomes one
 shard file: the shard's distinct ids are numbered 0..k-1, and ceil(log2 k) bit planes hold
 the numbers from their highest bit down, each plane stably partitioned by the plane before
-it (a wavelet matrix). With a running count of ones per 512 bits (rank), and binary search
-over it (select), a file answers from its planes: the id at a position, how often an id
-occurs in a range, and where its j-th occurrence is.
+it (a wavelet matrix). A plane is compressed in blocks of 65,536 bits, and the file holds the
+ones before each block and the block's place. From these counts (rank) and binary search over
+them (select) a file tells the id at a position, how often an id occurs in a range, and where
+its j-th occurrence is, by decompressing one or two blocks of each plane, whatever its size.
 
 Files are rows of a Parquet table in the shared scratch folder (one row, one file per shard),
 so that any file system Spark writes to will do. A file's byte layout:
 
-    magic "WVM1", then a header of little-endian 64-bit numbers (tokens, documents, distinct
-    ids, planes, compressed bytes of each section), then the sections, compressed with zstd:
-    distinct ids (uint32), document ids (int64), their null flags (uint8), document starts
-    (int64, documents + 1), and each plane (packed bits, lowest bit first).
+    magic "WVM2", then a header of little-endian 64-bit numbers (tokens, documents, distinct
+    ids, planes, bytes of each section), then the sections: distinct ids (uint32), document ids
+    (int64), their null flags (uint8) and document starts (int64, documents + 1), each compressed
+    with zstd; and each plane: with b = ceil(tokens / 65,536) blocks, the ones before each block
+    and in all (int64, b + 1), the blocks' offsets and their end (int64, b + 1), then the blocks
+    (packed bits, lowest bit first), each compressed with zstd.
 
 Defined cases: null and empty texts are a lone end id; rows with equal doc_id stay separate
 rows, ordered by the text's hash; a null doc_id sorts first; an empty table gives no rows;
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,9 @@ from pyspark.sql import types as T
 from trailcast.llm import bpe
 from trailcast.llm.scratch import Scratch
 
-MAGIC = b"WVM1"
-SUPER = 512
+MAGIC = b"WVM2"
+BLOCK = 1 << 16          # bits of a plane that are compressed together
+OPEN_BLOCKS = 256        # decompressed blocks an open file keeps (8 KB each)
 SHARD_BYTES = 24 << 20
 PIECE = 3 << 20          # text encoded at once: more of it has fewer distinct words to merge
 CODEC = "zstd"
@@ -52,6 +57,15 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=struct.unpack("<q", blob[:8])[0], codec=CODEC, asbytes=True)
 
 
+def _plane_section(bit: np.ndarray) -> bytes:
+    """A plane's counts, offsets and compressed blocks."""
+    cuts = np.arange(0, len(bit), BLOCK)
+    ones = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, cuts, dtype=np.int64))]) if len(cuts) else np.zeros(1, np.int64)
+    blocks = [_pack(np.packbits(bit[a:a + BLOCK], bitorder="little").tobytes()) for a in cuts.tolist()]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]) if blocks else np.zeros(1)
+    return b"".join([ones.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), *blocks])
+
+
 def build_file(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
     """A shard's file. ``ids``: all its tokens; ``starts``: documents + 1 token offsets."""
     present = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
@@ -59,19 +73,19 @@ def build_file(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
     number[present] = np.arange(len(present))
     planes = max(1, (len(present) - 1).bit_length()) if len(present) else 0
     codes = number[ids].astype(np.uint16 if planes <= 16 else np.uint32)
-    sections = [present.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), starts.astype("<i8").tobytes()]
+    packed = [_pack(part) for part in (present.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), starts.astype("<i8").tobytes())]
     for b in reversed(range(planes)):
         bit = (codes >> b & 1).astype(bool)
-        sections.append(np.packbits(bit, bitorder="little").tobytes())
+        packed.append(_plane_section(bit))
         if b:
             codes = np.concatenate([codes[~bit], codes[bit]])
-    packed = [_pack(s) for s in sections]
     head = struct.pack(f"<{4 + len(packed)}q", len(ids), len(doc_ids), len(present), planes, *map(len, packed))
     return b"".join([MAGIC, head, *packed])
 
 
 class TokenFile:
-    """A shard's file, read section by section as they are needed."""
+    """A shard's file, decompressed section by section, and plane by plane in blocks, as they are
+    needed."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
@@ -83,8 +97,12 @@ class TokenFile:
         for size in sizes:
             self._sections.append(blob[at:at + size])
             at += size
-        self._read: dict = {}
+        self._blocks: OrderedDict = OrderedDict()
         self.alphabet = np.frombuffer(_unpack(self._sections[0]), "<u4")
+        held = -(-self.n // BLOCK) + 1
+        self._ones = [np.frombuffer(p, "<i8", held) for p in self._sections[4:]]
+        self._offsets = [np.frombuffer(p, "<i8", held, 8 * held) for p in self._sections[4:]]
+        self._body = 16 * held
 
     @property
     def starts(self) -> np.ndarray:
@@ -96,35 +114,46 @@ class TokenFile:
         null = _unpack(self._sections[2])
         return [None if z else i for i, z in zip(ids, null)]
 
+    def _block(self, level: int, k: int) -> np.ndarray:
+        """Packed bits of a plane's k-th block."""
+        found = self._blocks.pop((level, k), None)
+        if found is None:
+            a, b = (self._body + self._offsets[level][k:k + 2]).tolist()
+            found = np.frombuffer(_unpack(self._sections[4 + level][a:b]), np.uint8)
+        self._blocks[level, k] = found
+        if len(self._blocks) > OPEN_BLOCKS:
+            self._blocks.popitem(last=False)
+        return found
+
     def _bits(self, level: int) -> np.ndarray:
-        packed = np.frombuffer(_unpack(self._sections[4 + level]), np.uint8)
-        return np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
-
-    def _plane(self, level: int):
-        """(packed bits, ones before each block of 512 bits, zeros in the plane)"""
-        if level not in self._read:
-            packed = np.frombuffer(_unpack(self._sections[4 + level]), np.uint8)
-            size = SUPER // 8
-            padded = np.pad(packed, (0, -len(packed) % size + size))
-            ones = np.bitwise_count(padded.reshape(-1, size)).sum(1)
-            before = np.concatenate([[0], np.cumsum(ones)])[:-1]
-            self._read[level] = (padded, before, self.n - int(ones.sum()))
-        return self._read[level]
+        """A whole plane."""
+        if not self.n:
+            return np.empty(0, bool)
+        at = (self._body + self._offsets[level]).tolist()
+        packed = b"".join(_unpack(self._sections[4 + level][a:b]) for a, b in zip(at, at[1:]))
+        return np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def _zeros(self, level: int) -> int:
+        return self.n - int(self._ones[level][-1])
 
     def _rank1(self, level: int, i: int) -> int:
-        packed, before, _ = self._plane(level)
-        block = i // SUPER
-        own = packed[block * SUPER // 8:i // 8]
-        rest = int(packed[i // 8]) & ((1 << i % 8) - 1)
-        return int(before[block]) + int(np.bitwise_count(own).sum()) + rest.bit_count()
+        """Ones of a plane before position i."""
+        k, at = divmod(i, BLOCK)
+        before = int(self._ones[level][k])
+        if not at:
+            return before
+        packed = self._block(level, k)
+        rest = int(packed[at // 8]) & ((1 << at % 8) - 1) if at % 8 else 0
+        return before + int(np.bitwise_count(packed[:at // 8]).sum()) + rest.bit_count()
 
     def _select(self, level: int, one: bool, j: int) -> int:
         """Position of the j-th (from 0) one or zero of a plane."""
-        packed, before, _ = self._plane(level)
-        blocks = before if one else np.arange(len(before)) * SUPER - before
-        k = int(np.searchsorted(blocks, j, "right")) - 1
-        bits = np.unpackbits(packed[k * SUPER // 8:(k + 1) * SUPER // 8], bitorder="little")
-        return k * SUPER + int(np.flatnonzero(bits == one)[j - int(blocks[k])])
+        before = self._ones[level]
+        if not one:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        k = int(np.searchsorted(before, j, "right")) - 1
+        bits = np.unpackbits(self._block(level, k), count=min(BLOCK, self.n - k * BLOCK), bitorder="little")
+        return k * BLOCK + int(np.flatnonzero(bits == one)[j - int(before[k])])
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
@@ -132,10 +161,9 @@ class TokenFile:
             raise IndexError(i)
         code = 0
         for level in range(self.planes):
-            packed, _, zeros = self._plane(level)
             ones = self._rank1(level, i)
-            bit = int(packed[i // 8]) >> i % 8 & 1
-            i = zeros + ones if bit else i - ones
+            bit = int(self._block(level, i // BLOCK)[i % BLOCK // 8]) >> i % 8 & 1
+            i = self._zeros(level) + ones if bit else i - ones
             code = code << 1 | bit
         return int(self.alphabet[code])
 
@@ -147,7 +175,7 @@ class TokenFile:
         for level in range(self.planes):
             bit = code >> (self.planes - 1 - level) & 1
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            zeros = self._plane(level)[2]
+            zeros = self._zeros(level)
             path.append((bit, zeros))
             lo, hi = (zeros + a, zeros + b) if bit else (lo - a, hi - b)
         return lo, hi, path
@@ -173,7 +201,7 @@ class TokenFile:
         codes = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for level in reversed(range(self.planes)):
             bit = self._bits(level)
-            zeros = self.n - int(np.count_nonzero(bit))
+            zeros = self._zeros(level)
             upper = codes[zeros:] | codes.dtype.type(1 << (self.planes - 1 - level))
             out = np.empty_like(codes)
             out[~bit] = codes[:zeros]
