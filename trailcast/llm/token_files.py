@@ -59,9 +59,10 @@ def _unpack(blob: bytes) -> bytes:
 
 def _plane_section(bit: np.ndarray) -> bytes:
     """A plane's counts, offsets and compressed blocks."""
-    cuts = np.arange(0, len(bit), BLOCK)
-    ones = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, cuts, dtype=np.int64))]) if len(cuts) else np.zeros(1, np.int64)
-    blocks = [_pack(np.packbits(bit[a:a + BLOCK], bitorder="little").tobytes()) for a in cuts.tolist()]
+    packed = np.packbits(bit, bitorder="little")
+    cuts = np.arange(0, len(packed), BLOCK // 8)
+    ones = np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(packed), cuts, dtype=np.int64))]) if len(cuts) else np.zeros(1)
+    blocks = [_pack(packed[a:a + BLOCK // 8].tobytes()) for a in cuts.tolist()]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]) if blocks else np.zeros(1)
     return b"".join([ones.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), *blocks])
 
