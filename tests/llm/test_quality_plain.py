@@ -75,3 +75,26 @@ def test_classifier_against_a_plain_version(spark):
         assert abs(got[i].score - want) < 1e-4, (i, got[i].score, want)
         assert got[i].held_out == (i in held) and got[i].predicted == int(got[i].score >= 0.3)
     assert len({round(r.score, 3) for r in got.values()}) > 10
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    from trailcast.llm.samples import held_out, labelled_sample
+    ids = [r.doc_id for r in spark.range(400).select(F.col("id").alias("doc_id")).where(~held_out()).collect()]
+    long = set(ids[:6])
+    texts = [(i, "x" * 900 if i in long else "y" * 20) for i in ids]
+    docs = spark.createDataFrame(texts + [(ids[20], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, quality int")
+
+    every = labelled_sample(docs, labels, "quality", 1000).collect()
+    assert len(every) == len(ids) and all(abs(r.weight - 1) < 1e-12 for r in every)
+    few = labelled_sample(docs, labels, "quality", 1000, max_bytes=1600).collect()
+    for k in (0, 1):
+        own = [r for r in few if r.label == k]
+        share = sum(1 for j in range(len(ids)) if int(j % 4 == 0) == k) / len(ids)
+        assert sum(len(r.text or "") for r in own) < 1600 + 900
+        assert abs(sum(r.weight for r in own) / len(few) - share) < 1e-12
+    zeros = [r for r in few if r.label == 0]                     # 80 short texts fill it: no long one
+    assert len(zeros) in (80, 81) and all(len(r.text or "") < 100 for r in zeros)
+    one = labelled_sample(docs.where(F.length("text") > 100), labels, "quality", 1000, max_bytes=160).collect()
+    assert sorted(r.label for r in one) == [0, 1]                # never none
+    assert labelled_sample(docs.limit(0), labels, "quality", 5).count() == 0
