@@ -62,7 +62,7 @@ def _retrieval(spark, d):
     corp = ds.filter(F.col("split") == "retrieval").select(F.col("row_id").alias("point_id"),
                                                             "prefix", "prediction")
     nb = knn_topk(enc(test, "prefix", "embedding"), enc(corp, "prefix", "embedding"), K,
-                  "query_id", "point_id", "embedding")
+                  "query_id", "point_id", "embedding", distinct=True)
     ctx = context_pack(nb.join(corp.select("point_id", "prefix", "prediction"), "point_id"))
     return test, ctx
 
