@@ -139,3 +139,13 @@ def test_several_files(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     split_xes(spark, folder, out, 0.34)
     assert read_xes_traces(spark, f"{out}/split=test").count() == 3
+
+
+def test_nested_attributes_pass_python_by_rows(spark):
+    """Long traces: Python gets few texts at once, not an Arrow batch of 10,000."""
+    from trailcast.sources.xes import nested_attributes
+    one = "<trace><list key='l'><values><string key='a' value='b'/></values></list><event/></trace>"
+    rows = spark.createDataFrame([(1, one, True), (2, "<trace></trace>", False), (3, "<trace><list", True)], "trace_pos long, xml string, has_nested boolean")
+    got = rows.select("trace_pos", nested_attributes(rows).alias("n"))
+    assert "BatchEvalPython" in (plan := got._jdf.queryExecution().toString()) and "ArrowEvalPython" not in plan
+    assert {r.trace_pos: r.n for r in got.collect()} == {1: [{"l": '[{"key": "a", "value": "b"}]'}, {}], 2: None, 3: None}

@@ -10,7 +10,6 @@ import json
 import xml.etree.ElementTree as ET
 from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,9 +70,10 @@ def _nested_of_trace(xml: str | None) -> list | None:
 def nested_attributes(records: DataFrame) -> F.Column | None:
     """Array column of maps key -> JSON text of the ``list`` and ``container`` attributes: the
     trace's own first, then each event's. None when no trace of the log has any, so that plain
-    logs never pass Python; null for a trace without any."""
+    logs never pass Python; null for a trace without any. Traces go to Python by rows, a few at a
+    time: an Arrow batch would hold the texts of 10,000 traces, however long they are."""
     if not records.where("has_nested").limit(1).count():
         return None
     ship_package(records.sparkSession)
-    parse = F.pandas_udf(lambda xml: xml.map(_nested_of_trace), T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    parse = F.udf(_nested_of_trace, T.ArrayType(T.MapType(T.StringType(), T.StringType())), useArrow=False)
     return parse(F.when(F.col("has_nested"), F.col("xml")))
