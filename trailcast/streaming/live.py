@@ -3,8 +3,11 @@ running (survey §2.10).
 
 One stateful operator keyed by case (``transformWithState``). Arriving events wait in the state
 until the watermark has passed their time, so events that come out of order, within
-``delay``, are put in order; an event-time timer per event time takes them out, by (ts,
-event_pos) as the batch job orders them. A taken event is the label of the anchor before it and
+``delay``, are put in order; an event-time timer at the first waiting event takes out all that
+are due, by (ts, event_pos) as the batch job orders them, and is set anew for the first that
+stays. They wait in chunks, a JSON array in one list element for the events of a case in one
+arrival, so that a case costs a handful of state calls per arrival, not some for every event; its
+rows leave the operator the same way and are parsed by Spark. A taken event is the label of the anchor before it and
 extends the trace's text; a row is (case_id, anchor, prefix, prediction, dedup_key, prefix_len),
 equal to what the batch job gives for the same events. The state of a case is its text so
 far, its last m events and the events that wait. Events later than the watermark are dropped
@@ -13,6 +16,7 @@ until then. State is kept in RocksDB and restored from the stream's checkpoint."
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,12 +29,31 @@ from trailcast.functions.text import VALUES_MARKER
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = "case_id {case}, anchor long, prefix string, prediction string, dedup_key string, prefix_len long"
-#: waiting events, and what is kept of the events that were taken
-WAITING = "at long, pos long, act string, by_cols string, by_key string"
+OUTPUT = "case_id {case}, rows string"
+#: a chunk of waiting events, JSON arrays [at, pos, act, by_cols, by_key], and what is kept of the events that were taken
+WAITING = "events string"
+CHUNK = 10_000              # events of a chunk at most
+ROWS = "array<struct<anchor: bigint, prefix: string, prediction: string, dedup_key: string, prefix_len: bigint>>"
+FIELDS = ("anchor", "prefix", "prediction", "dedup_key", "prefix_len")
+#: no row is lost for its length or in silence
+PARSE = {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)}
+ROWS_CHARS = 8 << 20        # prefix text of an array of rows, beyond which the next begins
 TRACE = "n long, plain string, dedup string, last array<struct<act string, rich string>>, held_prefix string, held_key string, held_label string"
 
 
+def _arrays(rows: list[tuple]) -> Iterator[str]:
+    """Rows as JSON arrays of bounded text, in the layout of ``ROWS``."""
+    part, chars = [], 0
+    for row in rows:
+        part.append(dict(zip(FIELDS, row)))
+        chars += len(row[1]) + len(row[3])
+        if chars >= ROWS_CHARS:
+            yield json.dumps(part, ensure_ascii=False)
+            part, chars = [], 0
+    if part:
+        yield json.dumps(part, ensure_ascii=False)
+
+
 class _Prefixes(StatefulProcessor):
     def __init__(self, cfg: PrefixConfig):
         self.cfg = cfg
@@ -41,30 +64,37 @@ class _Prefixes(StatefulProcessor):
         self.trace = handle.getValueState("trace", TRACE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            fields = [part[c] for c in ("at", "pos", "act", "by_cols", "by_key")]
-            self.waiting.appendList([(int(a), int(p), str(x), str(c), str(k)) for a, p, x, c, k in zip(*fields)])
-            for at in part["at"].unique():
-                self.handle.registerTimer(-(-int(at) // 1000))       # the millisecond that covers it
+            events = part["event"].tolist()
+            for k in range(0, len(events), CHUNK):
+                self.waiting.appendValue((f"[{','.join(events[k:k + CHUNK])}]",))
+            at = int(part["at"].min())
+            first = at if first is None else min(first, at)
+        if first is not None:
+            self._wake(first)
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))                    # the millisecond that covers it
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(e for chunk in self.waiting.get() for e in json.loads(chunk[0]))
         due = [e for e in waiting if e[0] <= upto]
-        if not due:
+        if not due:                                       # an arrival's timer, its events taken with an earlier one's
             return
-        if len(due) < len(waiting):
-            self.waiting.put(waiting[len(due):])
+        if rest := waiting[len(due):]:
+            self.waiting.put([(json.dumps(rest[k:k + CHUNK], ensure_ascii=False),) for k in range(0, len(rest), CHUNK)])
+            self._wake(rest[0][0])
         else:
             self.waiting.clear()
-        out = self._extend(due)
-        if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=["case_id", "anchor", "prefix", "prediction", "dedup_key", "prefix_len"])
+        for rows in _arrays(self._extend(due)):
+            yield pd.DataFrame({"case_id": [key[0]], "rows": [rows]})
 
     def _extend(self, events: list) -> list[tuple]:
         cfg, out = self.cfg, []
-        n, plain, dedup, last, *held = self.trace.get() if self.trace.exists() else (0, "", "", [], None, None, None)
+        n, plain, dedup, last, *held = self.trace.get() or (0, "", "", [], None, None, None)
         last = [tuple(e) for e in last or []]
         for _at, _pos, act, by_cols, by_key in events:
             if n and n - 1 >= cfg.base and (n - 1 - cfg.base) % cfg.gap == 0:
@@ -98,11 +128,22 @@ def live_prefixes(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), delay: str
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kept = drop_null_cases(lifecycle_filter(log, enabled=cfg.lifecycle_filter)).where("ts is not null")
     time = F.col("ts").cast("timestamp")
-    events = kept.select("case_id", time.alias("time"), F.unix_micros(time).alias("at"), F.col("event_pos").alias("pos"),
-                         F.coalesce("activity", F.lit("nan")).alias("act"), F.col("vals_cols").alias("by_cols"), F.col("vals_sorted").alias("by_key"))
+    at = F.unix_micros(time)
+    # an array of JSON texts, since a JSON array has one type: each text is valid by itself
+    fields = [at.cast("string"), F.col("event_pos").cast("string"), *[_json_text(c) for c in (
+        F.coalesce("activity", F.lit("nan")), F.col("vals_cols"), F.col("vals_sorted"))]]
+    event = F.concat(F.lit("["), *[x for f in fields for x in (f, F.lit(","))][:-1], F.lit("]"))
+    events = kept.select("case_id", time.alias("time"), at.alias("at"), event.alias("event"))
     case_type = dict(kept.dtypes)["case_id"]
-    return events.withWatermark("time", delay).groupBy("case_id").transformWithStateInPandas(
+    out = events.withWatermark("time", delay).groupBy("case_id").transformWithStateInPandas(
         _Prefixes(cfg), OUTPUT.format(case=case_type), outputMode="Append", timeMode="EventTime")
+    return out.select("case_id", F.inline(F.from_json("rows", ROWS, PARSE)))
+
+
+def _json_text(text: F.Column) -> F.Column:
+    """A string as JSON text: an array of one string without its brackets."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 def start_live_prefixes(log: DataFrame, out_path: str, checkpoint_location: str, cfg: PrefixConfig = PrefixConfig(),
