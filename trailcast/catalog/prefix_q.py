@@ -13,7 +13,7 @@ from trailcast.catalog import sqlx
 from trailcast.config import EventLogSpec, PrefixConfig
 from trailcast.functions.text import abbreviate
 from trailcast.operators.clean import drop_null_cases, drop_trace_attributes, lifecycle_filter
-from trailcast.operators.prefixes import render_events, trace_text
+from trailcast.operators.prefixes import event_columns, render_events, trace_text
 from trailcast.operators.split import temporal_split
 from trailcast.operators.traces import event_positions, short_trace_filter, trace_table
 from trailcast.plans.build import all_prefixes, build_dataset
@@ -58,7 +58,7 @@ def q_event_projection(spark, d):
 
 def _events_positioned(spark, d, cfg):
     log = events_log(spark, d)
-    return log, render_events(event_positions(drop_null_cases(log)), cfg)
+    return log, render_events(event_positions(event_columns(drop_null_cases(log), cfg)), cfg)
 
 
 def q_trace_assembly(spark, d):
@@ -73,7 +73,7 @@ def q_trace_end_time(spark, d):
 
 
 def q_event_position(spark, d):
-    pos = event_positions(drop_null_cases(orders_log(spark, d)))
+    pos = event_positions(drop_null_cases(orders_log(spark, d)).select("event_pos", "case_id", "ts"))
     return pos.select("event_pos", "case_id", "idx")
 
 
@@ -213,7 +213,8 @@ def q_prefix_dedup_scale_path(spark, d):
 
 def q_trace_assembly_scale_path(spark, d):
     log = events_log(spark, d)
-    ev = render_events(event_positions(drop_null_cases(log), **SCALE_PATH), PrefixConfig(m=0))
+    cfg = PrefixConfig(m=0)
+    ev = render_events(event_positions(event_columns(drop_null_cases(log), cfg), **SCALE_PATH), cfg)
     return trace_text(ev, trace_table(log), block_size=8)
 
 

@@ -34,6 +34,18 @@ def map_text(attrs: Column, sort_keys: bool) -> Column:
     return F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
 
 
+def event_columns(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
+    """The columns that the order and the texts of the events are made of. A ranking sorts and
+    writes its rows whole, so the others are left out before it."""
+    if cfg.m == 0:
+        texts = []
+    elif "vals_sorted" not in log.columns:
+        texts = ["attrs"]
+    else:
+        texts = ["vals_sorted"] if cfg.key_order == "sorted" else ["vals_cols", "vals_sorted"]
+    return log.select("case_id", "event_pos", "activity", "ts", *texts)
+
+
 def render_events(pos_log: DataFrame, cfg: PrefixConfig) -> DataFrame:
     """Per event: ``act`` (label / dedup part), ``plain`` (activity only) and ``rich``
     (activity + value map). Reference key order: events rendered with the first anchor

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trailcast.config import PrefixConfig
 from trailcast.functions.naming import variant_name_py
 from trailcast.operators.clean import drop_null_cases, lifecycle_filter
-from trailcast.operators.prefixes import (anchor_steps, assemble_prefixes, first_places,
+from trailcast.operators.prefixes import (anchor_steps, assemble_prefixes, event_columns, first_places,
                                           render_events, render_places, trace_blocks, with_anchors,
                                           with_earlier_text)
 from trailcast.operators.ranking import row_number_within
@@ -48,7 +48,7 @@ def log_stats(traces: DataFrame, cfg: PrefixConfig) -> LogStats:
 def positioned_events(log: DataFrame, cfg: PrefixConfig, stats: LogStats | None = None,
                       **rank_opts) -> DataFrame:
     kept = drop_null_cases(lifecycle_filter(log, enabled=cfg.lifecycle_filter))
-    pos = event_positions(kept, n_rows=stats.kept_events if stats else None, **rank_opts)
+    pos = event_positions(event_columns(kept, cfg), n_rows=stats.kept_events if stats else None, **rank_opts)
     return render_events(pos, cfg)
 
 
