@@ -63,17 +63,17 @@ def render_events(pos_log: DataFrame, cfg: PrefixConfig) -> DataFrame:
     return pos_log.withColumn("act", act).withColumn("plain", act).withColumn("rich", rich)
 
 
-def block_rows(events: DataFrame, block_size: int, spill: int) -> DataFrame:
+def block_rows(events: DataFrame, block_size: int, spill: int, tasks: int | None = None) -> DataFrame:
     """(case_id, blk, arr): events of one block sorted by idx, plus the first ``spill``
-    events of the next block."""
+    events of the next block; grouped by ``tasks`` tasks if given."""
     blk = F.floor(F.col("idx") / block_size).cast("long")
     spill_into_prev = (blk > 0) & ((F.col("idx") % block_size) < spill)
     ev = F.struct(F.col("idx").cast("long").alias("idx"), "act", "plain", "rich")
-    return (events
-            .withColumn("blk", F.explode(F.when(spill_into_prev, F.array(blk, blk - 1))
-                                         .otherwise(F.array(blk))))
-            .groupBy("case_id", "blk")
-            .agg(F.sort_array(F.collect_list(ev)).alias("arr")))
+    rows = events.select("case_id", ev.alias("ev"), F.explode(
+        F.when(spill_into_prev, F.array(blk, blk - 1)).otherwise(F.array(blk))).alias("blk"))
+    if tasks is not None:
+        rows = rows.repartition(tasks, "case_id", "blk")
+    return rows.groupBy("case_id", "blk").agg(F.sort_array(F.collect_list("ev")).alias("arr"))
 
 
 def earlier_block_text(blocks: DataFrame, block_size: int, rounds: int, sep: str) -> DataFrame:
@@ -126,7 +126,7 @@ BROADCAST_TRACES = 1_000_000   # trace rows (case, position, count, split) broad
 
 def trace_blocks(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
                  max_events: int | None = None, n_traces: int | None = None,
-                 earlier_text: bool = True) -> DataFrame:
+                 earlier_text: bool = True, tasks: int | None = None) -> DataFrame:
     """Event blocks of every trace with more than two events, with the trace's columns: case_id,
     blk, arr, trace_pos, n [, split], linear in the log; and, with ``earlier_text``, the text of
     the trace's earlier blocks (:func:`with_earlier_text`).
@@ -136,13 +136,21 @@ def trace_blocks(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
     n_traces: exact trace count when known; at most BROADCAST_TRACES rows of the narrow
     trace table are broadcast to the block rows, above that it is a shuffle join (AQE
     splits a skewed, i.e. hot, case on the block side)
+    tasks: tasks of the grouping (:func:`~trailcast.operators.ranking.tasks_for`). Above that
+    number of traces these then bring a row for each of their blocks, a unique key, into the
+    same tasks: the blocks aren't moved again, and the narrow rows are what is hashed
     """
     B, mm = cfg.block_events, max(cfg.m, 1)
-    blocks = block_rows(events, B, mm)
+    blocks = block_rows(events, B, mm, tasks)
     trace_cols = [c for c in ("trace_pos", "n", "split") if c in traces.columns]
     tr = traces.filter(F.col("n") > 2).select("case_id", *trace_cols)
     small = n_traces is not None and n_traces <= BROADCAST_TRACES
-    rows = blocks.join(F.broadcast(tr) if small else tr, "case_id")
+    if small or tasks is None:
+        rows = blocks.join(F.broadcast(tr) if small else tr, "case_id")
+    else:
+        of = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / B).cast("long"))
+        per_block = tr.withColumn("blk", F.explode(of)).repartition(tasks, "case_id", "blk")
+        rows = blocks.join(per_block.hint("shuffle_hash"), ["case_id", "blk"])
     return with_earlier_text(rows, cfg, max_events) if earlier_text else rows
 
 
@@ -216,11 +224,12 @@ def anchor_steps(rows: DataFrame, cfg: PrefixConfig) -> DataFrame:
 
 
 def assemble_prefixes(events: DataFrame, traces: DataFrame, cfg: PrefixConfig,
-                      max_events: int | None = None, n_traces: int | None = None) -> DataFrame:
+                      max_events: int | None = None, n_traces: int | None = None,
+                      tasks: int | None = None) -> DataFrame:
     """Every anchor row of every trace with more than two events, rendered: case_id,
     trace_pos, [split,] anchor, prefix, prediction, dedup_key, prefix_len (arguments as in
     :func:`trace_blocks`)."""
-    blocks = trace_blocks(events, traces, cfg, max_events, n_traces)
+    blocks = trace_blocks(events, traces, cfg, max_events, n_traces, tasks=tasks)
     return render_prefixes(with_anchors(blocks, cfg), cfg, ["split"] if "split" in blocks.columns else [])
 
 

@@ -17,15 +17,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 2_000_000         # plain window below this many rows
-ROWS_PER_BUCKET = 1_000_000    # target rows per range bucket above it
+ROWS_PER_BUCKET = 250_000      # target rows per range bucket, and per task of what follows, above it
 MAX_BUCKETS = 10_000           # tasks of the sort; larger buckets spill, nothing is held in memory
 PLACE_BITS = 33                # monotonically_increasing_id(): partition, then place in it
 
 
+def tasks_for(spark: SparkSession, n_rows: int, small_rows: int = SMALL_ROWS,
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> int | None:
+    """Tasks that share ``n_rows`` out so that each takes about ``rows_per_bucket`` of them however
+    many there are; None for a small input, which takes the session's shuffle partitions."""
+    if n_rows <= small_rows:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, math.ceil(n_rows / rows_per_bucket)))
+
+
 def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                       name: str = "rn", n_rows: int | None = None,
                       small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET,
@@ -58,6 +67,8 @@ def row_number_within(df: DataFrame, order_cols: list[str], partition_cols: list
         F.col("_bkt").alias("_b"), "_off", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)])
     if partition_cols:
         local = F.row_number().over(Window.partitionBy("_bkt", *partition_cols).orderBy("_at"))
+        # a bucket's part of a group is the largest key: the window's tasks grow with the rows
+        placed = placed.repartition(tasks_for(df.sparkSession, n_rows, small_rows, rows_per_bucket), "_bkt", *partition_cols)
     else:
         local = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
     on = F.col("_bkt") == F.col("_b")

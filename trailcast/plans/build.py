@@ -20,7 +20,7 @@ from trailcast.operators.clean import drop_null_cases, lifecycle_filter
 from trailcast.operators.prefixes import (anchor_steps, assemble_prefixes, event_columns, first_places,
                                           render_events, render_places, trace_blocks, with_anchors,
                                           with_earlier_text)
-from trailcast.operators.ranking import row_number_within
+from trailcast.operators.ranking import row_number_within, tasks_for
 from trailcast.operators.split import row_split, temporal_split
 from trailcast.operators.traces import event_positions, trace_table
 from trailcast.session import materialize
@@ -73,17 +73,19 @@ def all_prefixes(log: DataFrame, cfg: PrefixConfig, traces: DataFrame | None = N
     if stats is None:
         stats = log_stats(traces, cfg)
     events = positioned_events(log, cfg, stats, **rank_opts)
-    return assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces)
+    return assemble_prefixes(events, traces, cfg, max_events=stats.longest, n_traces=stats.traces,
+                             tasks=tasks_for(log.sparkSession, stats.kept_events, **rank_opts))
 
 
-def transitions(log: DataFrame, cfg: PrefixConfig) -> DataFrame:
+def transitions(log: DataFrame, cfg: PrefixConfig, **rank_opts) -> DataFrame:
     """Every anchor's last and next activity, without its prefix text: case_id, anchor,
     prefix_len, last_activity, prediction."""
     cfg.validate()
     traces = traces_of(log, cfg)
     stats = log_stats(traces, cfg)
     cfg = replace(cfg, m=0)
-    blocks = trace_blocks(positioned_events(log, cfg, stats), traces, cfg, max_events=0, n_traces=stats.traces)
+    blocks = trace_blocks(positioned_events(log, cfg, stats, **rank_opts), traces, cfg, max_events=0, n_traces=stats.traces,
+                          tasks=tasks_for(log.sparkSession, stats.kept_events, **rank_opts))
     return anchor_steps(with_anchors(blocks, cfg), cfg)
 
 
@@ -99,7 +101,8 @@ def winners(log: DataFrame, cfg: PrefixConfig = PrefixConfig(), eventless: DataF
     split = temporal_split(traces, cfg.test_share, cfg.zero_test_means_all,
                            n_traces=stats.traces, **rank_opts) if by_trace else traces
     # read by the dedup (activities only) and by the rendering: written once
-    blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces, earlier_text=False))
+    blocks = materialize(trace_blocks(events, split, cfg, stats.longest, stats.traces, earlier_text=False,
+                                      tasks=tasks_for(log.sparkSession, stats.kept_events, **rank_opts)))
     if by_trace:
         won = first_places(blocks, cfg, cfg.cross_dedup, max_events=stats.longest)
     else:
